@@ -31,7 +31,8 @@ from .wordbuf import pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
+#: Words remembered, in each of two generations.
+REMEMBERED = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -83,20 +84,23 @@ class Vocabulary:
     decoded: list[bytes]
     byte_ids: list[int]
     unknown: float
+    single: frozenset[str]
+    packed: list[bytes]
     memory: dict
 
 
 class _Memory(dict):
-    """Encodings by word."""
+    """Encodings by word, in two generations: when the young one is full it becomes the old one, and the old one goes."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        made = self.encode(word)
+        made = self.old.get(word) or self.encode(word)
         if len(word) < 64:
             self[word] = made
         return made
@@ -105,7 +109,7 @@ class _Memory(dict):
 @functools.lru_cache(maxsize=2)
 def vocabulary(model: bytes) -> Vocabulary:
     automaton = ahocorasick.Automaton()
-    decoded, byte_ids, least = [], [-1] * 256, 0.0
+    decoded, byte_ids, least, single = [], [-1] * 256, 0.0, set()
     for i, (piece, score, kind) in enumerate(read_model(model)):
         if kind == BYTE:
             byte_ids[int(piece[3:5], 16)] = i
@@ -116,12 +120,14 @@ def vocabulary(model: bytes) -> Vocabulary:
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError(f"piece {i} spans words")
             automaton.add_word(piece, (i, score, len(piece)))
+            if len(piece) == 1:
+                single.add(piece)
             least = min(least, score)
     if min(byte_ids) < 0:
         raise ValueError("the model has no byte pieces")
     automaton.make_automaton()
-    out = Vocabulary(automaton, decoded, byte_ids, least - UNKNOWN_PENALTY, {})
-    out.memory = _Memory(lambda word: np.array(viterbi(out, word)[0], np.uint16).tobytes())
+    out = Vocabulary(automaton, decoded, byte_ids, least - UNKNOWN_PENALTY, frozenset(single), [i.to_bytes(2, "little") for i in range(len(decoded))], {})
+    out.memory = _Memory(lambda word: pack(out, word))
     return out
 
 
@@ -162,6 +168,27 @@ def viterbi(v: Vocabulary, word: str, literal: str = "﷐") -> tuple[list[int],
     return ids[::-1], best[n]
 
 
+def pack(v: Vocabulary, word: str) -> bytes:
+    """viterbi()'s ids, packed.  Where a piece covers each character, no path over an unknown
+    is better (its score is below all), which spares most words the case."""
+    if not v.single.issuperset(word):
+        return b"".join([v.packed[i] for i in viterbi(v, word)[0]])
+    n = len(word)
+    best, back = [0.0] + [-1e300] * n, [(0, 0)] * (n + 1)
+    for end, (ident, score, length) in v.automaton.iter(word):
+        end += 1
+        total = best[end - length] + score
+        if total > best[end]:
+            best[end], back[end] = total, (length, ident)
+    ids, packed = [], v.packed
+    while n:
+        length, ident = back[n]
+        ids.append(packed[ident])
+        n -= length
+    ids.reverse()
+    return b"".join(ids)
+
+
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -230,4 +257,3 @@ def op7(docs: DataFrame) -> DataFrame:
     return tokenize(docs).drop("ids")
 
 
-OP7_SQL = None
