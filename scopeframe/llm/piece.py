@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton and Viterbi.
 
-The automaton holds all pieces; in one pass over a word it gives, at each end,
-the pieces that end there (longest first, by its output links), and the best
-score up to that end is relaxed over them.  Characters that no piece covers are
-encoded as byte pieces, with the score of an unknown.
+The automaton holds all pieces, as UTF-8 bytes.  In one pass over a word it gives, at
+each end, the pieces that end there (longest first, by its output links), and the
+best score up to that end is relaxed over them.  Many words take each step at
+once, as numpy arrays.  Characters that no piece covers are encoded as byte
+pieces, with the score of an unknown.
 
 Spaces become U+2581, one is put in front.  No piece may hold a U+2581 after
 another character (checked), so words are independent: the best encoding of a
-text is that of its words, which are remembered, a bounded number at a time.  A
+text is that of its words, and each distinct word of a slice is encoded once.  A
 U+2581 in the text itself is encoded as bytes, so decoding gives back the text.
 """
 
@@ -15,24 +16,22 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import prepare
-from .wordbuf import pieces
+from .wordbuf import mix, pieces, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words remembered, in each of two generations.
-REMEMBERED = 300_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 4 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -78,38 +77,97 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+class Automaton:
+    """Aho-Corasick over byte strings, as tables: moves[256 * state + byte], and for each state the
+    longest pattern that ends there and, for each pattern, the next shorter one (its output link)."""
+
+    def __init__(self, patterns: list[tuple[bytes, int, float]]):
+        children: list[dict[int, int]] = [{}]
+        of_state: dict[int, int] = {}
+        for k, (pattern, _, _) in enumerate(patterns):
+            at = 0
+            for byte in pattern:
+                to = children[at].get(byte)
+                if to is None:
+                    to = children[at][byte] = len(children)
+                    children.append({})
+                at = to
+            of_state[at] = k + 1
+        self.moves = np.zeros((len(children), 256), np.int32)
+        self.longest = np.zeros(len(children), np.int32)
+        #: by pattern number; number 0 is none
+        self.link = np.zeros(len(patterns) + 1, np.int32)
+        self.length = np.array([0] + [len(p) for p, _, _ in patterns], np.int64)
+        self.ident = np.array([0] + [i for _, i, _ in patterns], np.uint16)
+        self.score = np.array([0.0] + [s for _, _, s in patterns])
+        fails, row = [0] * len(children), [0]
+        while row:
+            below = []
+            for state in row:
+                fail = fails[state]
+                if state:
+                    self.moves[state] = self.moves[fail]
+                    self.longest[state] = self.longest[fail]
+                    if own := of_state.get(state, 0):
+                        self.link[own] = self.longest[fail]
+                        self.longest[state] = own
+                for byte, to in children[state].items():
+                    fails[to] = self.moves[fail, byte] if state else 0
+                    self.moves[state, byte] = to
+                    below.append(to)
+            row = below
+        self.moves = self.moves.ravel()
+
+    def best_paths(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """words: a row a word, zero-padded, longest first.  (ids, right-aligned; their number, 0 if no path covers the word)."""
+        n, width = words.shape
+        best = np.full((width + 1, n), -np.inf)
+        best[0] = 0
+        scores, back = best.ravel(), np.zeros((width + 1, n), np.int32)
+        state = np.zeros(n, np.int64)
+        for end in range(1, width + 1):
+            k = int(np.searchsorted(-lengths, -end, side="right"))  # words that reach this end
+            state[:k] = self.moves[(state[:k] << 8) + words[:k, end - 1]]
+            pattern = self.longest[state[:k]]
+            at = np.flatnonzero(pattern)
+            pattern = pattern[at]
+            row, from_ = best[end], back[end]
+            while len(at):
+                total = scores[(end - self.length[pattern]) * n + at] + self.score[pattern]
+                better = np.flatnonzero(total > row[at])
+                to = at[better]
+                row[to] = total[better]
+                from_[to] = pattern[better]
+                pattern = self.link[pattern]
+                more = np.flatnonzero(pattern)
+                at, pattern = at[more], pattern[more]
+        ids, count, left = np.zeros((n, width), np.uint16), np.zeros(n, np.int64), lengths.copy()
+        at, step = np.flatnonzero(best[lengths, np.arange(n)] > -np.inf), width
+        while len(at):
+            step -= 1
+            pattern = back[left[at], at]
+            ids[at, step] = self.ident[pattern]
+            count[at] += 1
+            left[at] -= self.length[pattern]
+            at = at[left[at] > 0]
+        return ids, count
+
+
 @dataclass
 class Vocabulary:
-    automaton: ahocorasick.Automaton
+    automaton: Automaton
+    scores: dict[str, tuple[int, float]]
+    longest: int
     decoded: list[bytes]
     byte_ids: list[int]
     unknown: float
-    single: frozenset[str]
-    packed: list[bytes]
-    memory: dict
-
-
-class _Memory(dict):
-    """Encodings by word, in two generations: when the young one is full it becomes the old one, and the old one goes."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        made = self.old.get(word) or self.encode(word)
-        if len(word) < 64:
-            self[word] = made
-        return made
+    #: ASCII bytes outside all pieces: they stand alone
+    alone: np.ndarray
 
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(model: bytes) -> Vocabulary:
-    automaton = ahocorasick.Automaton()
-    decoded, byte_ids, least, single = [], [-1] * 256, 0.0, set()
+    decoded, byte_ids, scores = [], [-1] * 256, {}
     for i, (piece, score, kind) in enumerate(read_model(model)):
         if kind == BYTE:
             byte_ids[int(piece[3:5], 16)] = i
@@ -117,95 +175,109 @@ def vocabulary(model: bytes) -> Vocabulary:
             continue
         decoded.append(b"" if kind == CONTROL else piece.replace(SPACE, " ").encode())
         if kind in (NORMAL, USER):
-            if SPACE in piece.lstrip(SPACE):
+            if SPACE in piece.lstrip(SPACE) or " " in piece:
                 raise ValueError(f"piece {i} spans words")
-            automaton.add_word(piece, (i, score, len(piece)))
-            if len(piece) == 1:
-                single.add(piece)
-            least = min(least, score)
+            scores[piece.replace(SPACE, " ")] = (i, score)
     if min(byte_ids) < 0:
         raise ValueError("the model has no byte pieces")
-    automaton.make_automaton()
-    out = Vocabulary(automaton, decoded, byte_ids, least - UNKNOWN_PENALTY, frozenset(single), [i.to_bytes(2, "little") for i in range(len(decoded))], {})
-    out.memory = _Memory(lambda word: pack(out, word))
-    return out
-
-
-def viterbi(v: Vocabulary, word: str, literal: str = "﷐") -> tuple[list[int], float]:
-    """Ids of the best encoding of a string in which spaces are U+2581 (a U+2581 of the text itself: literal), and its score.
-    Of equal scores the one whose last piece is longest wins, at each position."""
-    n = len(word)
-    best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
-    done = 0  # best is final up to here
-
-    def fall(upto: int) -> None:
-        nonlocal done
-        while done < upto:  # no piece ended at done + 1: an unknown character
-            done += 1
-            best[done], back[done] = best[done - 1] + v.unknown, (done - 1, -1)
-
-    for end, (ident, score, length) in v.automaton.iter(word):
-        end += 1
-        fall(end - 1)
-        total = best[end - length] + score
-        if done < end:
-            done = end
-            # an unknown character may precede as well
-            best[end], back[end] = best[end - 1] + v.unknown, (end - 1, -1)
-        if total > best[end]:
-            best[end], back[end] = total, (end - length, ident)
-    fall(n)
+    if len(decoded) > 1 << 16:
+        raise ValueError("ids take more than 16 bits")
+    alphabet = set("".join(scores))
+    if any(c not in scores for c in alphabet):
+        raise ValueError("a character occurs in pieces but is none")
+    automaton = Automaton([(p.encode(), i, s) for p, (i, s) in scores.items()])
+    least = min((s for _, s in scores.values()), default=0.0)
+    alone = np.array([b < 128 and chr(b) not in alphabet for b in range(256)])
+    return Vocabulary(automaton, scores, max(map(len, scores), default=0), decoded, byte_ids, least - UNKNOWN_PENALTY, alone)
+
+
+def viterbi(v: Vocabulary, word: str) -> tuple[list[int], float]:
+    """Ids of the best encoding of one string and its score, with unknown characters; for strings the automaton's tables
+    don't cover, and as a plain form to hold these against.  Of equal scores the longest last piece wins."""
+    best, back = [0.0], [(0, -1)]
+    for end in range(1, len(word) + 1):
+        best.append(best[end - 1] + v.unknown)
+        back.append((end - 1, -1))
+        for start in range(max(0, end - v.longest), end):
+            found = v.scores.get(word[start:end])
+            if found and best[start] + found[1] > best[end]:
+                best[end], back[end] = best[start] + found[1], (start, found[0])
     ids: list[int] = []
-    at = n
+    at = len(word)
     while at:
         start, ident = back[at]
-        if ident >= 0:
-            ids.append(ident)
-        else:
-            text = word[start:at]
-            ids += [v.byte_ids[b] for b in reversed((SPACE if text == literal else text).encode())]
+        ids += [ident] if ident >= 0 else [v.byte_ids[b] for b in reversed(word[start:at].encode())]
         at = start
-    return ids[::-1], best[n]
-
-
-def pack(v: Vocabulary, word: str) -> bytes:
-    """viterbi()'s ids, packed.  Where a piece covers each character, no path over an unknown
-    is better (its score is below all), which spares most words the case."""
-    if not v.single.issuperset(word):
-        return b"".join([v.packed[i] for i in viterbi(v, word)[0]])
-    n = len(word)
-    best, back = [0.0] + [-1e300] * n, [(0, 0)] * (n + 1)
-    for end, (ident, score, length) in v.automaton.iter(word):
-        end += 1
-        total = best[end - length] + score
-        if total > best[end]:
-            best[end], back[end] = total, (length, ident)
-    ids, packed = [], v.packed
-    while n:
-        length, ident = back[n]
-        ids.append(packed[ident])
-        n -= length
-    ids.reverse()
-    return b"".join(ids)
-
-
-_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
-
-def encode(v: Vocabulary, text: str) -> bytes:
-    """The ids as little-endian 16-bit integers."""
-    if not text:
-        return b""
-    if SPACE in text or "﷐" in text:
-        # the stand-in must not occur itself
-        stand = next(chr(c) for c in range(0xFDD0, 0xFDF0) if chr(c) not in text)
-        whole = SPACE + text.replace(SPACE, stand).replace(" ", SPACE)
-        return b"".join([np.array(viterbi(v, w, stand)[0], np.uint16).tobytes() for w in _WORDS.findall(whole)])
-    words = text.split(" ")
-    memory = v.memory
-    if "" in words:
-        return b"".join([memory[w] for w in _WORDS.findall(SPACE + text.replace(" ", SPACE))])
-    return b"".join([memory[SPACE + w] for w in words])
+    return ids[::-1], best[-1]
+
+
+#: Bytes of the longest word that the arrays take; longer ones go one by one.
+WIDTH = 128
+
+
+def encode(v: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, and the place of each text's first id (and the end).
+
+    Equal words (by a 64-bit hash and length) are encoded once."""
+    raw = b"".join([b" " + t for t in texts if t])
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    data = np.frombuffer(raw, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+    begins = np.cumsum(sizes) - sizes
+    space, alone = data == 32, v.alone[data]
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    cut |= alone
+    cut[1:] |= alone[:-1]
+    cut[begins[sizes > 0]] = True
+    start = np.flatnonzero(cut)
+    length = np.diff(np.r_[start, len(data)])
+    power, inverse = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    hashes = mix((sums[start + length] - sums[start]) * inverse[start]) ^ length.astype(np.uint64)
+    _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+
+    words, size = start[first], length[first]
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    words, size = words[order], size[order]
+    slow = int(np.searchsorted(-size, -WIDTH, side="left"))
+    ids: list[np.ndarray] = []
+    count = np.zeros(len(size), np.int64)
+    lo = 0
+    while lo < len(size):
+        if lo < slow:
+            hi = lo + 1
+            found, n = np.zeros((1, 0), np.uint16), np.zeros(1, np.int64)
+        else:
+            hi = min(lo + (1 << 14), len(size))
+            width = int(size[lo])
+            at = words[lo:hi, None] + np.arange(width)
+            found, n = v.automaton.best_paths(np.where(np.arange(width) < size[lo:hi, None], data[np.minimum(at, len(data) - 1)], 0), size[lo:hi])
+        missing = np.flatnonzero(n == 0)
+        if len(missing):
+            # characters outside all pieces, or a very long word
+            plain = {int(k): viterbi(v, raw[words[lo + k] : words[lo + k] + size[lo + k]].decode())[0] for k in missing}
+            n[missing] = [len(x) for x in plain.values()]
+            wide = np.zeros((hi - lo, max(found.shape[1], int(n.max()))), np.uint16)
+            if found.shape[1]:
+                wide[:, -found.shape[1] :] = found
+            for k, x in plain.items():
+                wide[k, -len(x) :] = x
+            found = wide
+        count[lo:hi] = n
+        ids.append(found[np.arange(found.shape[1]) >= found.shape[1] - n[:, None]])
+        lo = hi
+    packed, at = np.concatenate(ids), np.cumsum(count) - count
+    word = rank[same.ravel()]
+    many = count[word]
+    stop = np.cumsum(many)
+    out = packed[np.repeat(at[word] - (stop - many), many) + np.arange(stop[-1])]
+    text_stop = np.searchsorted(start, begins + sizes, side="left")
+    return out, np.r_[0, np.r_[0, stop][text_stop]]
 
 
 def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
@@ -231,18 +303,17 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
-        for batch, texts in pieces(batches, "_text"):
-            packed = [encode(v, t.decode()) if t else b"" for t in texts]
-            ids = np.frombuffer(b"".join(packed), np.uint16)
-            ends = np.cumsum([len(p) // 2 for p in packed])
-            back = [decode(v, x) if len(x) else b"" for x in np.split(ids, ends[:-1])]
+        for batch, texts in pieces(batches, "_text", SLICE_BYTES):
+            ids, at = encode(v, texts)
+            split = np.split(ids, at[1:-1])
+            back = [decode(v, x) if len(x) else b"" for x in split]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))),
                     pa.array([len(t.decode()) if t else 0 for t in texts], pa.int64()),
-                    pa.array([len(p) // 2 for p in packed], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
+                    pa.array(np.diff(at)),
+                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in split]),
                     pa.array([hashlib.sha256(b).hexdigest() for b in back]),
                     pa.array([b == (t or b"") for b, t in zip(back, texts, strict=True)], pa.bool_()),
                 ],
