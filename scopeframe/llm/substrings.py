@@ -31,8 +31,10 @@ WINDOW, GRAM = 35, 4
 #: A gram is hot if it makes up more than this share of all grams.
 SHARE = 1 / 4000
 #: Bytes of packed strings a task holds before it sends them on.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 20 << 20
 KEY_BYTES = 12
+#: Buckets for each shuffle partition; one bucket at a time is unpacked.
+BUCKETS = 16
 
 
 def key_of(text: bytes | None) -> bytes:
@@ -47,7 +49,7 @@ def hot_grams(docs: DataFrame, share: float = SHARE) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
-        for _, texts in pieces(batches, "_text", 4 << 20):
+        for _, texts in pieces(batches, "_text"):
             words = Words(texts)
             start, _ = words.starts(GRAM)
             if len(start):
@@ -227,7 +229,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(_key, _spans): for the digest of a text, packed spans of words that a repeated window covers."""
     spark = prepare(docs.sparkSession)
     picked = docs.select(F.col(text_col).alias("_text"))
-    buckets = 4 * parts(spark)
+    buckets = BUCKETS * parts(spark)
     dealt = pack(picked, hot_grams(picked), buckets).repartition(parts(spark), "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
