@@ -216,7 +216,9 @@ def _settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             keys += [head[k : k + KEY_BYTES] for k in range(8 * len(own), len(head), KEY_BYTES)]
         place = np.concatenate(places)
         words, start, string = repeated(strings, np.concatenate(twice))
-        at = np.flatnonzero(np.r_[True, string[1:] != string[:-1]]) if len(string) else []
+        if not len(string):
+            continue
+        at = np.flatnonzero(np.r_[True, string[1:] != string[:-1]])
         for lo, hi in zip(at, [*at[1:], len(string)], strict=True):
             s = string[lo]
             spans.add(keys[s], covered(start[lo:hi] - words.first[s] + place[s]))
