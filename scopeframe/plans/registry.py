@@ -1,6 +1,314 @@
-"""The queries of the engine's own operators and their SQL."""
+"""The queries of the engine's own operators over the test tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import lines, shebang, utf16_length
+from ..grammar.engine import shared
+from ..grammar.languages import HINTS
+from ..operators import cache, highlight, languages, ranges, styles
+from ..sources.session import prepare, table
+from ..streaming import document
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+SCORED = ["go", "javascript", "python", "sql"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def text_of(value) -> str:
+    return "NULL" if value is None else str(value).upper() if isinstance(value, bool) else repr(value) if isinstance(value, int | float) else "'" + str(value).replace("'", "''") + "'"
+
+
+def values(name: str, columns: str, rows) -> str:
+    """A named table of fixed rows, for SQL."""
+    return f"{name}({columns}) as (values " + ", ".join("(" + ", ".join(map(text_of, r)) + ")" for r in rows) + ")"
+
+
+def keyword_rows() -> list[tuple]:
+    return [(n, w, s, r) for n in SCORED for w, (s, r) in sorted({w: (s, r) for w, s, r in shared().languages[n].root.keywords.pairs()}.items())]
+
+
+NAMES = sorted(shared().names.items())
+EXTENSIONS = ["py", "PY", "tar.yml", "h", "properties", "json", "html", "d.ts", "md", "pro"]
+
+# tokens of real texts
+
+
+@query(r"""
+select scope, sum(n) as n from (
+  select unnest(['punctuation', 'attr', 'number']) as scope, unnest([length(regexp_replace(props, '[^{}:,\[\]]', '', 'g')), len(regexp_extract_all(props, '"[^"]*"\s*:')), len(regexp_extract_all(props, ':\s*-?[0-9.]+'))]) as n from events)
+group by scope having sum(n) > 0""")
+def json_token_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of events.props as JSON, counted by scope; equal props are tokenised once."""
+    props = table(spark, sf_dir, "events").groupBy("props").agg(F.count(F.lit(1)).alias("times"))
+    made = highlight.highlight(props, "props", "json")
+    return made.select("times", F.explode("result.tokens").alias("t")).groupBy(F.element_at("t.scopes", -1).alias("scope")).agg(F.sum("times").alias("n"))
+
+
+@query()
+def html_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of web pages (tags, attributes, embedded styles and scripts), counted by page and scope."""
+    made = highlight.highlight(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "xml")
+    return highlight.tokens(made, "page_id").groupBy("page_id", "scope").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("units"))
+
+
+@query()
+def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of conversation texts, among all that take part; equal texts are tried once."""
+    prepare(spark)
+    texts = table(spark, sf_dir, "conversations").select("text").distinct()
+    return texts.withColumn("best", highlight.detected(F.col("text"))).select(F.sha2("text", 256).alias("text_sha256"), "best.*")
+
+
+@query()
+def budgeted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = highlight.highlight(table(spark, sf_dir, "events").select("event_id", "props"), "props", "json", most_tokens=3)
+    return made.select("event_id", F.size("result.tokens").alias("kept"), "omitted", F.col("result.source_length").alias("source_length"))
+
+
+# scores and ranking
+
+
+def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, language, relevance): sum over words of relevance times occurrences, seven at most; equal words of a text meet before the join."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("word"))
+    counted = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    known = languages.keywords(spark, SCORED)
+    return counted.join(F.broadcast(known), "word").groupBy("doc_id", "language").agg(F.sum(F.least(F.col("n"), F.lit(7)) * F.col("relevance")).alias("relevance"))
+
+
+_KEYWORDS = values("kw", "language, word, scope, relevance", keyword_rows())
+_SCORES = rf"""with {_KEYWORDS},
+words as (select doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z_]+')) as word from documents),
+counted as (select doc_id, word, count(*) as n from words group by all),
+scores as (select doc_id, language, cast(sum(least(n, 7) * relevance) as double) as relevance from counted join kw using (word) group by all)"""
+_RANKED = rf"""{_SCORES},
+tried as (select doc_id, language, relevance, row_number() over (partition by doc_id order by language) as ord from scores union all select doc_id, null, 0, 0 from documents),
+ranked as (select *, row_number() over (partition by doc_id order by relevance desc, ord) as k from tried)"""
+
+
+@query(f"{_SCORES} select * from scores")
+def kw_saturated_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_scores(spark, sf_dir)
+
+
+@query(rf"""with {_KEYWORDS}, words as (select unnest(regexp_extract_all(text, '[0-9A-Za-z_]+')) as word from documents)
+select language, scope, count(*) as n, count(distinct word) as words from words join kw using (word) group by all""")
+def kw_scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("word")).groupBy("word").count()
+    return words.join(F.broadcast(languages.keywords(spark, SCORED)), "word").groupBy("language", "scope").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("words"))
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain reading (relevance 0, first of equals) and the scored languages, ranked by document."""
+    scores = keyword_scores(spark, sf_dir).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("language")))
+    plain = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("relevance"), F.lit(0).alias("ord"))
+    return scores.unionByName(plain).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("relevance"), "ord")))
+
+
+@query(f"{_RANKED} select doc_id, language, relevance from ranked where k = 1")
+def detect_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(spark, sf_dir).where("k = 1").select("doc_id", "language", "relevance")
+
+
+@query(f"{_RANKED} select doc_id, language, relevance from ranked where k = 2 and language is not null")
+def detect_second_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(spark, sf_dir).where("k = 2 and language is not null").select("doc_id", "language", "relevance")
+
+
+# registry and resolution
+
+
+@query("select * from (values " + ", ".join(f"({text_of(n)}, {text_of(x.case_insensitive)}, {text_of(x.detectable)})" for n, x in sorted(shared().languages.items())) + ") t(name, case_insensitive, detectable)")
+def language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(prepare(spark)).orderBy("name")
+
+
+_ASKED = [a.upper() if i % 2 else a for i, (a, _) in enumerate(NAMES)] + ["nonesuch", ""]
+
+
+@query(f"with {values('a', 'i, asked', enumerate(_ASKED))}, {values('n', 'alias, name', NAMES)} select p_partkey, asked, name as language from part join a on p_partkey % {len(_ASKED)} = i left join n on lower(asked) = alias")
+def lang_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.array(*[F.lit(a) for a in _ASKED])
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.element_at(asked, (F.col("p_partkey") % len(_ASKED) + 1).cast("int")).alias("asked"))
+    return languages.look_up(parts, F.col("asked"))
+
+
+_EXT_ROWS = [(v, n) for n, h in sorted(HINTS.items()) for v in h.extensions]
+
+
+@query(rf"""with {values('e', 'i, ext', enumerate(EXTENSIONS))}, {values('h', 'value, name', _EXT_ROWS)},
+paths as (select p_partkey, 'src/f' || p_partkey || '.' || ext as path, lower('f' || p_partkey || '.' || ext) as base from part join e on p_partkey % {len(EXTENSIONS)} = i),
+hit as (select p_partkey, name, dense_rank() over (partition by p_partkey order by length(value) desc) as k from paths join h on base like '%.' || value),
+best as (select p_partkey, string_agg(distinct name, ',' order by name) as candidates, count(distinct name) as n, min(name) as one from hit where k = 1 group by 1)
+select p_partkey, path, candidates, case when n = 1 then one end as language from paths left join best using (p_partkey)""")
+def resolve_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("p_partkey") % len(EXTENSIONS) + 1).cast("int"))
+    paths = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/f"), "p_partkey", F.lit("."), ext).alias("path"))
+    return languages.resolve(paths, F.col("path")).select("p_partkey", "path", F.array_join("candidates", ",").alias("candidates"), "language")
+
+
+_LINES = ["#!/bin/sh", "#!/usr/bin/env python3", "#!/usr/bin/env -S python -u", "plain text", "#!C:\\bin\\NODE.EXE"]
+
+
+@query(f"with {values('s', 'i, line, program, language', [(0, _LINES[0], 'sh', 'bash'), (1, _LINES[1], 'python3', 'python'), (2, _LINES[2], 'python', 'python'), (3, _LINES[3], '', None), (4, _LINES[4], 'node', 'javascript')])} select p_partkey, program, language from part join s on p_partkey % 5 = i")
+def resolve_shebang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.text import interpreter
+
+    line = F.element_at(F.array(*[F.lit(x) for x in _LINES]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("script").alias("path"), F.concat(line, F.lit("\nx = 1\n")).alias("text"))
+    return languages.resolve(rows, F.col("path"), F.col("text")).select("p_partkey", interpreter(shebang(F.col("text"))).alias("program"), "language")
+
+
+# ranges
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges made of order lines: a line is as long as its quantity and has its flag for scope."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("length"), F.col("l_returnflag").alias("scope"))
+    return rows.withColumn("start", F.coalesce(F.sum("length").over(w), F.lit(0))).drop("l_partkey", "l_suppkey", "l_extendedprice")
+
+
+_RUNS = "runs as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as length, l_returnflag as scope, cast(coalesce(sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding), 0) as bigint) as start from lineitem)"
+
+
+@query(f"with {_RUNS} select l_orderkey, l_linenumber, greatest(count(*) over (partition by l_orderkey) - 3, 0) as omitted from runs qualify row_number() over (partition by l_orderkey order by l_linenumber) <= 3")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.budget(runs(spark, sf_dir), "l_orderkey", "l_linenumber", 3).where("kept").select("l_orderkey", "l_linenumber", "omitted")
+
+
+@query(f"""with {_RUNS}, marked as (select *, case when lag(start + length) over w = start and lag(scope) over w is not distinct from scope then 0 else 1 end as new from runs window w as (partition by l_orderkey order by start, length)),
+islands as (select *, sum(new) over (partition by l_orderkey order by start, length rows unbounded preceding) as island from marked)
+select l_orderkey, min(start) as start, cast(sum(length) as bigint) as length, min(scope) as scope, count(*) as runs from islands group by l_orderkey, island""")
+def merge_adjacent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.merge_runs(runs(spark, sf_dir), "l_orderkey")
+
+
+@query(f"with {_RUNS} select l_orderkey, l_linenumber, scope, greatest(start, 10) - 10 as start, least(start + length, 60) - greatest(start, 10) as length from runs where least(start + length, 60) > greatest(start, 10)")
+def clip_rebase_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.clip(runs(spark, sf_dir), F.lit(10).cast("long"), F.lit(50).cast("long"))
+
+
+_MAPS = [(0, 0, 100, 20), (0, 30, 150, 15), (1, 5, 0, 40)]
+
+
+@query(f"""with {_RUNS}, {values('m', 'odd, src, dst, size', _MAPS)}, o as (select o_orderkey, src, dst, size from orders join m on o_orderkey % 2 = odd)
+select l_orderkey, l_linenumber, scope, greatest(start, src) - src + dst as start, least(start + length, src + size) - greatest(start, src) as length from runs join o on l_orderkey = o_orderkey where least(start + length, src + size) > greatest(start, src)""")
+def interval_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = prepare(spark).createDataFrame(_MAPS, "odd long, src_start long, dst_start long, size long")
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 2).alias("odd")).join(F.broadcast(maps), "odd").drop("odd")
+    return ranges.overlay(runs(spark, sf_dir), own, "l_orderkey")
+
+
+# styles
+
+_THEMES = [(t, s, r[k], r[2], r[3]) for s, r in styles._DEFAULT.items() for k, t in enumerate(("light", "dark")) if r[k]]
+_STACKS = ["title.class.inherited", "string", "subst", "keyword.control", "meta", "title", "variable.language", "comment"]
+
+
+@query(rf"""with {values('t', 'theme, scope, color, bold, italic', _THEMES)}, {values('s', 'i, scope', enumerate(_STACKS))},
+stack as (select p_partkey, unnest([1, 0]) as depth, unnest([a.scope, b.scope]) as scope from part join s a on p_partkey % 8 = a.i join s b on p_partkey % 7 = b.i),
+hit as (select p_partkey, t.*, row_number() over (partition by p_partkey order by depth, length(t.scope) desc) as k from stack join t on theme = 'light' and (stack.scope = t.scope or stack.scope like t.scope || '.%'))
+select p_partkey, scope as style_scope, color, bold, italic from hit where k = 1""")
+def style_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stack = F.array(*[F.lit(s) for s in _STACKS])
+    at = lambda n: F.element_at(stack, (F.col("p_partkey") % n + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(at(8), at(7)).alias("scopes"))
+    return styles.styled(rows, styles.themes(spark).where("theme = 'light'").drop("theme"), "p_partkey")
+
+
+@query(f"with {values('t', 'theme, scope, color, bold, italic', _THEMES)}, a as (from t where theme = 'light'), b as (from t where theme = 'dark') select coalesce(a.scope, b.scope) as scope, a.color as light_color, b.color as dark_color, coalesce(a.bold, b.bold) as bold, coalesce(a.italic, b.italic) as italic from a full outer join b on a.scope = b.scope")
+def adaptive_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = styles.themes(prepare(spark))
+    return styles.adaptive(all_.where("theme = 'light'"), all_.where("theme = 'dark'"))
+
+
+# cache
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("ns"), "event_type", "props", cache.key(F.lit("json"), F.col("props"), F.length("props")).alias("key"))
+
+
+_KEY = "sha256(concat_ws(chr(31), 'json', props, length(props)))"
+
+
+@query(f"select key, count(*) as n, min(event_id) as first_event from (select event_id, {_KEY} as key from events) group by key")
+def cache_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query(f"with r as (select event_type, {_KEY} as key from events) select distinct key from r where key not in (select key from r where event_type = 'click')")
+def cache_miss_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = requests(spark, sf_dir)
+    return cache.misses(asked, asked.where("event_type = 'click'"), "key").select("key")
+
+
+@query(f"with r as (select user_id % 10 as ns, {_KEY} as key from events) select ns, count(*) - count(distinct key) as hits, count(distinct key) as misses, count(*) as requests from r group by ns")
+def cache_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.metrics(requests(spark, sf_dir), "ns", "key", "event_id")
+
+
+@query(r"select event_id, cast(64 + 32 * 5 + 3 * 11 + 4 + 6 as bigint) as cost from events")
+def cache_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = highlight.highlight(table(spark, sf_dir, "events").select("event_id", "props"), "props", "json")
+    return made.select("event_id", cache.cost(F.col("result.tokens")).cast("long").alias("cost"))
+
+
+@query()
+def cache_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.least_recent(requests(spark, sf_dir).withColumn("size", F.length("props") * 10), "ns", "key", "size", "event_id", 2000, 20)
+
+
+# lines and documents
+
+_LINES_SQL = r"""l as (select doc_id, len(regexp_extract_all(text, '\n')) + 1 as n from documents)"""
+
+
+@query(r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k, unnest(string_split(text, chr(10))) as line, len(string_split(text, chr(10))) as n from documents),
+u as (select doc_id, k, length(line) + length(regexp_replace(line, '[^\x{10000}-\x{10FFFF}]', '', 'g')) + (k < n)::int as units from l)
+select doc_id, k - 1 as line_no, cast(coalesce(sum(units) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset", cast(units as bigint) as length from u""")
+def line_split_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document.line_offsets(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"with {_LINES_SQL} select doc_id, n as lines, (n - 1) // 2 as changed, (n - 1) // 2 // 32 * 32 as checkpoint from l")
+def checkpoint_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last kept state at or before a changed line (the middle one)."""
+    n = F.size(lines(F.col("text"))).cast("long")
+    rows = table(spark, sf_dir, "documents").select("doc_id", n.alias("lines")).withColumn("changed", F.floor((F.col("lines") - 1) / 2))
+    kept = F.filter(F.sequence(F.lit(0).cast("long"), F.col("lines"), F.lit(document.EVERY).cast("long")), lambda k: k <= F.col("changed"))
+    return rows.withColumn("checkpoint", F.array_max(kept))
+
+
+@query(r"select doc_id, length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) as units from documents")
+def utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", utf16_length(F.col("text")).cast("long").alias("units"))
+
+
+@query(r"select p_partkey, tag from (select p_partkey, unnest(regexp_extract_all(c, '(TODO|FIXME|NOTE|BUG|OPTIMIZE|HACK|XXX):', 1)) as tag from (select p_partkey, case p_partkey % 3 when 0 then 'TODO: ' || p_name when 1 then 'see NOTE: a BUG: ' || p_name else p_name end as c from part))")
+def doctag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("TODO: "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("see NOTE: a BUG: "), "p_name")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.regexp_extract_all(text, F.lit("(TODO|FIXME|NOTE|BUG|OPTIMIZE|HACK|XXX):"), F.lit(1))).alias("tag"))
+
+
+@query()
+def document_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents: the first turn is the text, each later one is put before it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("edit_seq"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.concat("text", F.lit("\n")).alias("replacement"))
+    return document.edits(turns, "conv_id", "markdown")
