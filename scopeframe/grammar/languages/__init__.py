@@ -3,36 +3,53 @@
 from __future__ import annotations
 
 from ..model import Hints
-from . import code, data
+from . import code, compiled, config, data, symbolic
 
 FACTORIES = {
     f.__name__: f
     for f in (
         data.plaintext, data.json, data.diff, data.ini, data.properties, data.http, data.graphql, data.protobuf, data.xml, data.yaml, data.css, data.markdown,
         code.bash, code.shell, code.dockerfile, code.makefile, code.python, code.go, code.lua, code.sql, code.javascript,
+        compiled.rust, compiled.java, compiled.ocaml, compiled.delphi, compiled.zig,
+        config.terraform, config.cmake, config.nginx, config.fish, config.dos,
+        symbolic.prolog, symbolic.lisp, symbolic.matlab, symbolic.elixir,
     )
 }
 
 HINTS = {
-    "bash": Hints.of("bash sh bats", ".bashrc .bash_profile .profile", "bash sh zsh"),
+    "bash": Hints.of("bash sh bats", ".bashrc .bash_profile .profile", "bash sh"),
+    "cmake": Hints.of("cmake", "cmakelists.txt"),
     "css": Hints.of("css"),
+    "delphi": Hints.of("pas dpr"),
     "diff": Hints.of("diff patch"),
     "dockerfile": Hints.of("dockerfile", "dockerfile containerfile"),
+    "dos": Hints.of("bat cmd", "", "cmd"),
+    "elixir": Hints.of("ex exs", "mix.exs", "elixir"),
+    "fish": Hints.of("fish", "config.fish", "fish"),
     "go": Hints.of("go"),
     "graphql": Hints.of("graphql gql graphqls"),
     "http": Hints.of("http"),
     "ini": Hints.of("ini cfg prefs pro properties toml"),
-    "javascript": Hints.of("js mjs cjs jsx", "", "node"),
+    "java": Hints.of("java"),
+    "javascript": Hints.of("js mjs cjs jsx", "", "node nodejs"),
     "json": Hints.of("json jsonc geojson", ".babelrc .eslintrc composer.lock"),
-    "lua": Hints.of("lua", "", "lua"),
-    "makefile": Hints.of("mk mak", "makefile gnumakefile bsdmakefile", "make"),
+    "lisp": Hints.of("lisp lsp cl"),
+    "lua": Hints.of("lua", "", "lua luajit"),
+    "makefile": Hints.of("mk mak", "makefile gnumakefile bsdmakefile"),
     "markdown": Hints.of("md markdown mdown mkd", "readme"),
+    "matlab": Hints.of("m", "", "matlab"),
+    "nginx": Hints.of("nginx nginxconf", "nginx.conf"),
+    "ocaml": Hints.of("ml mli", "", "ocaml"),
     "plaintext": Hints.of("txt text"),
+    "prolog": Hints.of("pro prolog", "", "swipl"),
     "properties": Hints.of("properties"),
     "protobuf": Hints.of("proto"),
-    "python": Hints.of("py pyw pyi", "sconstruct wscript", "python python2 python3"),
+    "python": Hints.of("py pyw pyi", "sconstruct wscript", "python python2 python3 pypy"),
+    "rust": Hints.of("rs"),
     "shell": Hints.of("shell-session"),
     "sql": Hints.of("sql"),
+    "terraform": Hints.of("tf tfvars hcl", ".terraformrc"),
     "xml": Hints.of("xml html htm xhtml svg plist storyboard xib"),
     "yaml": Hints.of("yaml yml", ".clang-format .clang-tidy"),
+    "zig": Hints.of("zig zon"),
 }
