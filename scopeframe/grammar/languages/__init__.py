@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..model import Hints
-from . import code, compiled, config, data, symbolic
+from . import code, compiled, config, data, functional, scripts, symbolic
 
 FACTORIES = {
     f.__name__: f
@@ -13,26 +13,36 @@ FACTORIES = {
         compiled.rust, compiled.java, compiled.ocaml, compiled.delphi, compiled.zig,
         config.terraform, config.cmake, config.nginx, config.fish, config.dos,
         symbolic.prolog, symbolic.lisp, symbolic.matlab, symbolic.elixir,
+        functional.haskell, functional.elm, functional.erlang, functional.scala,
+        scripts.kotlin, scripts.groovy, scripts.r, scripts.coffeescript, scripts.dart, scripts.applescript,
     )
 }
 
 HINTS = {
+    "applescript": Hints.of("applescript scpt", "", "osascript"),
     "bash": Hints.of("bash sh bats", ".bashrc .bash_profile .profile", "bash sh"),
     "cmake": Hints.of("cmake", "cmakelists.txt"),
+    "coffeescript": Hints.of("coffee litcoffee", "", "coffee"),
     "css": Hints.of("css"),
+    "dart": Hints.of("dart", "", "dart"),
     "delphi": Hints.of("pas dpr"),
     "diff": Hints.of("diff patch"),
     "dockerfile": Hints.of("dockerfile", "dockerfile containerfile"),
     "dos": Hints.of("bat cmd", "", "cmd"),
     "elixir": Hints.of("ex exs", "mix.exs", "elixir"),
+    "elm": Hints.of("elm"),
+    "erlang": Hints.of("erl hrl", "rebar.config", "escript"),
     "fish": Hints.of("fish", "config.fish", "fish"),
     "go": Hints.of("go"),
     "graphql": Hints.of("graphql gql graphqls"),
+    "groovy": Hints.of("groovy gradle", "jenkinsfile", "groovy"),
+    "haskell": Hints.of("hs lhs", "", "runhaskell"),
     "http": Hints.of("http"),
     "ini": Hints.of("ini cfg prefs pro properties toml"),
     "java": Hints.of("java"),
     "javascript": Hints.of("js mjs cjs jsx", "", "node nodejs"),
     "json": Hints.of("json jsonc geojson", ".babelrc .eslintrc composer.lock"),
+    "kotlin": Hints.of("kt kts", "", "kotlin"),
     "lisp": Hints.of("lisp lsp cl"),
     "lua": Hints.of("lua", "", "lua luajit"),
     "makefile": Hints.of("mk mak", "makefile gnumakefile bsdmakefile"),
@@ -45,7 +55,9 @@ HINTS = {
     "properties": Hints.of("properties"),
     "protobuf": Hints.of("proto"),
     "python": Hints.of("py pyw pyi", "sconstruct wscript", "python python2 python3 pypy"),
+    "r": Hints.of("r rmd", ".rprofile", "rscript"),
     "rust": Hints.of("rs"),
+    "scala": Hints.of("scala sc", "", "scala"),
     "shell": Hints.of("shell-session"),
     "sql": Hints.of("sql"),
     "terraform": Hints.of("tf tfvars hcl", ".terraformrc"),

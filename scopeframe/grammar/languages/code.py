@@ -6,6 +6,12 @@ from ..common import ESCAPE, block_comment, comment, double, hash_comment, line_
 from ..model import SELF, Language, Mode, words
 
 
+# Commands of shells and of the core utilities.
+SHELL = "break cd continue eval exec exit export getopts hash pwd readonly return shift test times trap umask unset alias bind builtin caller command declare echo enable help let local logout mapfile printf read readarray source sudo type typeset ulimit unalias set shopt"
+ZSH = "autoload bg bindkey bye cap chdir clone comparguments compcall compctl compdescribe compfiles compgroups compquote comptags comptry compvalues dirs disable disown echotc echoti emulate fc fg float functions getcap getln history integer jobs kill limit log noglob popd print pushd pushln rehash sched setcap setopt stat suspend ttyctl unfunction unhash unlimit unsetopt vared wait whence where which zcompile zformat zftp zle zmodload zparseopts zprof zpty zregexparse zsocket zstyle ztcp"
+COREUTILS = "chcon chgrp chown chmod cp dd df dir dircolors ln ls mkdir mkfifo mknod mktemp mv realpath rm rmdir shred sync touch truncate vdir b2sum base32 base64 cat cksum comm csplit cut expand fmt fold head join md5sum nl numfmt od paste ptx pr sha1sum sha224sum sha256sum sha384sum sha512sum shuf sort split sum tac tail tr tsort unexpand uniq wc arch basename chroot date dirname du echo env expr factor groups hostid id link logname nice nohup nproc pathchk pinky printenv printf pwd readlink runcon seq sleep stat stdbuf stty tee test timeout tty uname unlink uptime users who whoami yes"
+
+
 def bash() -> Language:
     variable = Mode(scope="variable", variants=[Mode(begin=r"\$[\w\d#@][\w\d_]*(?![\w\d])(?![$])"), Mode(begin=r"\$\{", end=r"\}", contains=[SELF, Mode(begin=":-", contains=[])])])
     variable.variants[1].contains[1].contains.append(variable)
@@ -16,16 +22,14 @@ def bash() -> Language:
     arithmetic = Mode(begin=r"\$?\(\(", end=r"\)\)", contains=[Mode(scope="number", begin=r"\d+#[0-9a-f]+"), number(), variable])
     title = Mode(scope="title", begin=r"\w[\w\d_]*", relevance=0)
     function = Mode(scope="function", begin=r"\w[\w\d_]*\s*\(\s*\)\s*\{", return_begin=True, contains=[title], relevance=0)
+    # a hash inside a word begins no comment
+    remark = Mode(match=(r"(^|\s)", r"#.*$"), scope={2: "comment"}, contains=hash_comment().contains)
+    known = Mode(scope="meta", begin=r"\A#![ ]*/.*\b(?:fish|bash|zsh|sh|csh|ksh|tcsh|dash|scsh)\b.*", end="$", relevance=10)
     return Language(
         "bash",
         Mode(
-            keywords=words(
-                "if then else elif fi time for while until in do done case esac coproc function select",
-                pattern=r"\b[a-z][a-z0-9._-]+\b",
-                literal="true false",
-                built_in="break cd continue eval exec exit export getopts hash pwd readonly return shift test times trap umask unset alias bind builtin caller command declare echo enable help let local logout mapfile printf read readarray source sudo type typeset ulimit unalias set shopt cat chmod chown cp cut date df dirname du env expr find grep head kill ln ls mkdir mktemp mv rm rmdir sed seq sleep sort tail tar tee touch tr uname uniq wc which xargs",
-            ),
-            contains=[shebang("(?:ba|z|k|da)?sh"), function, arithmetic, hash_comment(), here, Mode(match=r"(/[a-z._-]+)+"), quoted, Mode(match=r'\\"'), Mode(scope="string", begin="'", end="'"), Mode(match=r"\\'"), variable],
+            keywords=words("if then else elif fi time for while until in do done case esac coproc function select", pattern=r"\b[a-z][a-z0-9._-]+\b", literal="true false", built_in=f"{SHELL} {ZSH} {COREUTILS}"),
+            contains=[known, Mode(scope="meta", begin=r"\A#![ ]*/", end="$", relevance=0), function, arithmetic, remark, here, Mode(match=r"(/[a-z._-]+)+"), quoted, Mode(match=r'\\"'), Mode(scope="string", begin="'", end="'"), Mode(match=r"\\'"), variable],
         ),
         ("sh", "zsh"),
     )
@@ -50,7 +54,8 @@ def dockerfile() -> Language:
 
 def makefile() -> Language:
     variable = Mode(scope="variable", variants=[Mode(begin=r"\$\(\w+\)", contains=[ESCAPE]), Mode(begin=r"\$[@%<?\^\+\*]")])
-    call = Mode(scope="variable", begin=r"\$\([\w-]+\s", end=r"\)", contains=[variable], keywords=words(built_in="subst patsubst strip findstring filter filter-out sort word wordlist firstword lastword dir notdir suffix basename addsuffix addprefix join wildcard realpath abspath error warning shell origin flavor foreach if or and call eval file value", pattern=r"[\w-]+"))
+    quoted = Mode(scope="string", begin='"', end='"', contains=[ESCAPE, variable])
+    call = Mode(scope="variable", begin=r"\$\([\w-]+\s", end=r"\)", contains=[variable, quoted], keywords=words(built_in="subst patsubst strip findstring filter filter-out sort word wordlist firstword lastword dir notdir suffix basename addsuffix addprefix join wildcard realpath abspath error warning shell origin flavor foreach if or and call eval file value"))
     return Language(
         "makefile",
         Mode(
@@ -58,9 +63,9 @@ def makefile() -> Language:
             contains=[
                 hash_comment(),
                 variable,
-                Mode(scope="string", begin='"', end='"', contains=[ESCAPE, variable]),
+                quoted,
                 call,
-                Mode(begin=r"^[a-zA-Z_][\w]*\s*(?=[:+?]?=)", relevance=0),
+                Mode(begin=r"^[a-zA-Z_][\w]*\s*(?=[:+?]?=)"),
                 Mode(scope="meta", begin=r"^\.PHONY:", end="$", keywords=words(keyword=".PHONY", pattern=r"[.\w]+")),
                 Mode(scope="section", begin=r"^[^\s]+:", end="$", contains=[variable]),
             ],
