@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from ..model import Hints
-from . import code, compiled, config, data, functional, scripts, symbolic
+from . import code, compiled, config, data, ecma, functional, objects, scripts, symbolic
 
 FACTORIES = {
     f.__name__: f
     for f in (
         data.plaintext, data.json, data.diff, data.ini, data.properties, data.http, data.graphql, data.protobuf, data.xml, data.yaml, data.css, data.markdown,
-        code.bash, code.shell, code.dockerfile, code.makefile, code.python, code.go, code.lua, code.sql, code.javascript,
+        code.bash, code.shell, code.dockerfile, code.makefile, code.python, code.go, code.lua, code.sql, ecma.javascript, ecma.typescript,
+        objects.csharp, objects.cpp, objects.ruby,
         compiled.rust, compiled.java, compiled.ocaml, compiled.delphi, compiled.zig,
         config.terraform, config.cmake, config.nginx, config.fish, config.dos,
         symbolic.prolog, symbolic.lisp, symbolic.matlab, symbolic.elixir,
@@ -23,6 +24,8 @@ HINTS = {
     "bash": Hints.of("bash sh bats", ".bashrc .bash_profile .profile", "bash sh"),
     "cmake": Hints.of("cmake", "cmakelists.txt"),
     "coffeescript": Hints.of("coffee litcoffee", "", "coffee"),
+    "cpp": Hints.of("cc cp cpp cxx h hh hpp hxx"),
+    "csharp": Hints.of("cs csx"),
     "css": Hints.of("css"),
     "dart": Hints.of("dart", "", "dart"),
     "delphi": Hints.of("pas dpr"),
@@ -56,11 +59,13 @@ HINTS = {
     "protobuf": Hints.of("proto"),
     "python": Hints.of("py pyw pyi", "sconstruct wscript", "python python2 python3 pypy"),
     "r": Hints.of("r rmd", ".rprofile", "rscript"),
+    "ruby": Hints.of("rb rake gemspec", "gemfile rakefile podfile brewfile", "ruby"),
     "rust": Hints.of("rs"),
     "scala": Hints.of("scala sc", "", "scala"),
     "shell": Hints.of("shell-session"),
     "sql": Hints.of("sql"),
     "terraform": Hints.of("tf tfvars hcl", ".terraformrc"),
+    "typescript": Hints.of("ts tsx d.ts mts cts", "", "ts-node deno"),
     "xml": Hints.of("xml html htm xhtml svg plist storyboard xib"),
     "yaml": Hints.of("yaml yml", ".clang-format .clang-tidy"),
     "zig": Hints.of("zig zon"),

@@ -200,44 +200,3 @@ def sql() -> Language:
         ),
         case_insensitive=True,
     )
-
-
-def javascript() -> Language:
-    name = r"[A-Za-z$_][0-9A-Za-z$_]*"
-    keywords = words(
-        "as in of if for while finally var new function do return void else break catch instanceof with throw case default try switch continue typeof delete let yield const class debugger async await static import from export extends using",
-        pattern=name,
-        literal="true false null undefined NaN Infinity",
-        built_in="setInterval setTimeout clearInterval clearTimeout require exports eval isFinite isNaN parseFloat parseInt decodeURI decodeURIComponent encodeURI encodeURIComponent escape unescape",
-        **{"variable.language": "arguments this super console window document localStorage sessionStorage module global"},
-    )
-    keywords.words["title.class"] = "Object Function Boolean Symbol Math Date Number BigInt String RegExp Array Map Set WeakSet WeakMap ArrayBuffer DataView JSON Promise Generator Reflect Proxy Intl WebAssembly Error RangeError ReferenceError SyntaxError TypeError URIError"
-    numeric = Mode(scope="number", relevance=0, variants=[Mode(begin=p) for p in (r"\b0[xX][0-9a-fA-F](_?[0-9a-fA-F])*n?\b", r"\b0[bB][0-1](_?[0-1])*n?\b", r"\b0[oO][0-7](_?[0-7])*n?\b", r"(\b\d(_?\d)*)((\.\d(_?\d)*)|\.)?([eE][+-]?\d(_?\d)*)?n?\b|\B\.\d(_?\d)*([eE][+-]?\d(_?\d)*)?\b")])
-    subst = Mode(scope="subst", begin=r"\$\{", end=r"\}", keywords=keywords, contains=[])
-    template = Mode(scope="string", begin="`", end="`", contains=[ESCAPE, subst])
-    remarks = [comment(r"/\*\*(?!/)", r"\*/", relevance=0), block_comment(), line_comment()]
-    regexp = Mode(begin=r"(?:[!&(*+,\-/:;<=>?\[^{|}~]|\b(?:case|return|throw)\b)\s*", keywords=words("return throw case"), relevance=0, contains=[*remarks, Mode(scope="regexp", begin=r"/(?=[^/\n]*/)", end=r"/[gimuy]*", contains=[ESCAPE, Mode(begin=r"\[", end=r"\]", relevance=0, contains=[ESCAPE])])])
-    inside = [single(), double(), template, numeric, *remarks]
-    subst.contains = [*inside, Mode(begin=r"\{", end=r"\}", keywords=keywords, contains=[SELF, *inside])]
-    params = Mode(scope="params", begin=r"(\s*)\(", end=r"\)", exclude_begin=True, exclude_end=True, keywords=keywords, contains=[*inside, Mode(begin=r"\(", end=r"\)", keywords=keywords, contains=[SELF, *inside])])
-    return Language(
-        "javascript",
-        Mode(
-            keywords=keywords,
-            illegal=r"#(?![$_A-Za-z])",
-            contains=[
-                shebang("node"),
-                Mode(scope="meta", begin=r"^\s*['\"]use (strict|asm)['\"]", relevance=10),
-                *inside,
-                Mode(match=rf"{name}(?=\s*:)", scope="attr", relevance=0),
-                regexp,
-                Mode(variants=[Mode(match=("function", r"\s+", name, r"(?=\s*\()")), Mode(match=("function", r"\s*(?=\()"))], scope={1: "keyword", 3: "title.function"}, contains=[params], illegal="%"),
-                Mode(variants=[Mode(match=("class", r"\s+", name, r"\s+", "extends", r"\s+", name)), Mode(match=("class", r"\s+", name))], scope={1: "keyword", 3: "title.class", 5: "keyword", 7: "title.class.inherited"}),
-                Mode(match=rf"\b(?!(?:super|import|if|for|while|switch|catch|return|function|typeof|await)\b){name}(?=\s*\()", scope="title.function", relevance=0),
-                Mode(match=r"\.(?=[a-zA-Z$_])", relevance=0),
-                Mode(scope="variable.constant", match=r"\b[A-Z][A-Z_0-9]+\b", relevance=0),
-                Mode(match=r"\$[(.]"),
-            ],
-        ),
-        ("js", "jsx", "mjs", "cjs"),
-    )
