@@ -40,6 +40,21 @@ def group_scopes(parts: tuple[str, ...], scopes: dict[int, str]) -> list[tuple[i
     return out
 
 
+class Runs:
+    """A pattern that starts with a run of parts.  A run without a match is passed over as a whole, so a search takes
+    time in proportion to the text, not to its square."""
+
+    def __init__(self, whole: re.Pattern, run: re.Pattern):
+        self.whole, self.run = whole, run
+
+    def search(self, text: str, at: int) -> re.Match | None:
+        while found := self.run.search(text, at):
+            if whole := self.whole.match(text, found.start()):
+                return whole
+            at = found.end()
+        return None
+
+
 @dataclass(eq=False)
 class Compiled:
     """ident is the mode's place in its language, the same in every process."""
@@ -59,7 +74,7 @@ class Compiled:
     keyword_pattern: re.Pattern | None = None
     starts: Compiled | None = None
     #: (pattern, kind, mode): beginnings of contained modes, then end, then illegal
-    rules: list[tuple[re.Pattern, str, Compiled | None]] = field(default_factory=list)
+    rules: list[tuple[re.Pattern | Runs, str, Compiled | None]] = field(default_factory=list)
     begins: int = 0
     after_dot: bool = False
 
@@ -164,7 +179,8 @@ class Compiler:
         for child in mode.contains or []:
             for each in self.expand(source if child is SELF else child):
                 made = self.one(each, out)
-                out.rules.append((self.regex(made.begin), "begin", made))
+                pattern = self.regex(made.begin)
+                out.rules.append((Runs(pattern, self.regex(made.mode.run)) if made.mode.run else pattern, "begin", made))
         out.begins = len(out.rules)
         if out.terminator is not None:
             out.rules.append((self.regex(out.terminator), "end", None))

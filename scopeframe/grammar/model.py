@@ -24,6 +24,8 @@ class Mode:
     end: str | tuple[str, ...] | None = None
     match: str | tuple[str, ...] | None = None
     before: str | None = None
+    #: the repeated part that begin starts with; where it matches and begin doesn't, begin doesn't anywhere in that match
+    run: str | None = None
     begin_keywords: str | None = None
     begin_scope: str | dict[int, str] | None = None
     end_scope: str | dict[int, str] | None = None

@@ -3,9 +3,11 @@
 import glob
 import json
 import os
+import re
 
 import pytest
 
+from scopeframe.grammar.compiler import Runs
 from scopeframe.grammar.engine import Emitter, Highlighter, shared
 from scopeframe.grammar.languages import FACTORIES
 from scopeframe.grammar.model import SELF, GrammarError, Language, Mode, UnknownLanguage, words
@@ -105,6 +107,16 @@ def test_registry_moves_aliases():
         h.highlight("", "zzz")
 
 
+def test_runs_without_a_match_are_passed_over():
+    plain = re.compile(r"(?:[a-z]+ )+[a-z]+\(")
+    runs = Runs(plain, re.compile(r"(?:[a-z]+ )+"))
+    for text in ("a b c(", "a b. c d(", "a b", "", "x y, z w(q e(", "a  b(c d("):
+        for at in range(len(text) + 1):
+            a, b = plain.search(text, at), runs.search(text, at)
+            assert (a and a.span()) == (b and b.span())
+    assert runs.search("ab " * 20000, 0) is None
+
+
 def test_emitter_merges():
     e = Emitter()
     e.text(2, "a")
