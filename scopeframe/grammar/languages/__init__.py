@@ -10,9 +10,9 @@ FACTORIES = {
     for f in (
         data.plaintext, data.json, data.diff, data.ini, data.properties, data.http, data.graphql, data.protobuf, data.xml, data.yaml, data.css, data.markdown,
         code.bash, code.shell, code.dockerfile, code.makefile, code.python, code.go, code.lua, code.sql, ecma.javascript, ecma.typescript,
-        objects.csharp, objects.cpp, objects.ruby,
-        compiled.rust, compiled.java, compiled.ocaml, compiled.delphi, compiled.zig,
-        config.terraform, config.cmake, config.nginx, config.fish, config.dos,
+        objects.csharp, objects.cpp, objects.c, objects.objectivec, objects.ruby,
+        compiled.rust, compiled.java, compiled.ocaml, compiled.delphi, compiled.zig, compiled.ada,
+        config.terraform, config.cmake, config.nginx, config.fish, config.dos, config.apache, config.leaf, config.powershell,
         symbolic.prolog, symbolic.lisp, symbolic.matlab, symbolic.elixir,
         functional.haskell, functional.elm, functional.erlang, functional.scala,
         scripts.kotlin, scripts.groovy, scripts.r, scripts.coffeescript, scripts.dart, scripts.applescript,
@@ -20,8 +20,11 @@ FACTORIES = {
 }
 
 HINTS = {
+    "ada": Hints.of("adb ads ada"),
+    "apache": Hints.of("apacheconf vhost", ".htaccess"),
     "applescript": Hints.of("applescript scpt", "", "osascript"),
     "bash": Hints.of("bash sh bats", ".bashrc .bash_profile .profile", "bash sh"),
+    "c": Hints.of("c h"),
     "cmake": Hints.of("cmake", "cmakelists.txt"),
     "coffeescript": Hints.of("coffee litcoffee", "", "coffee"),
     "cpp": Hints.of("cc cp cpp cxx h hh hpp hxx"),
@@ -46,14 +49,17 @@ HINTS = {
     "javascript": Hints.of("js mjs cjs jsx", "", "node nodejs"),
     "json": Hints.of("json jsonc geojson", ".babelrc .eslintrc composer.lock"),
     "kotlin": Hints.of("kt kts", "", "kotlin"),
+    "leaf": Hints.of("leaf"),
     "lisp": Hints.of("lisp lsp cl"),
     "lua": Hints.of("lua", "", "lua luajit"),
     "makefile": Hints.of("mk mak", "makefile gnumakefile bsdmakefile"),
     "markdown": Hints.of("md markdown mdown mkd", "readme"),
     "matlab": Hints.of("m", "", "matlab"),
     "nginx": Hints.of("nginx nginxconf", "nginx.conf"),
+    "objectivec": Hints.of("h m mm"),
     "ocaml": Hints.of("ml mli", "", "ocaml"),
     "plaintext": Hints.of("txt text"),
+    "powershell": Hints.of("ps1 psm1 psd1", "", "pwsh powershell"),
     "prolog": Hints.of("pro prolog", "", "swipl"),
     "properties": Hints.of("properties"),
     "protobuf": Hints.of("proto"),

@@ -231,3 +231,49 @@ def zig() -> Language:
         ),
         ("zig",),
     )
+
+
+def ada() -> Language:
+    whole = r"\d(?:_|\d)*"
+    power = f"(?:[eE][-+]?{whole})?"
+    name, bad = r"[A-Za-z](?:_?[A-Za-z0-9.])*", r"\{\}%#'" + '"'
+    remark = comment("--", "$")
+    hidden = lambda begin, end, scope, **more: Mode(scope=scope, begin=begin, end=end, exclude_begin=True, illegal=bad, **more)
+    declared = Mode(
+        begin=r"\s+:\s+",
+        end=r"\s*(:=|;|\)|=>|$)",
+        illegal=bad,
+        contains=[Mode(begin_keywords="loop for declare others", ends_parent=True), Mode(scope="keyword", begin_keywords="not null constant access function procedure in out aliased exception"), Mode(scope="type", begin=name, ends_parent=True, relevance=0)],
+    )
+    return Language(
+        "ada",
+        Mode(
+            keywords=words(
+                "abort else new return abs elsif not reverse abstract end accept entry select access exception of separate aliased exit or some all others subtype and for out synchronized array function overriding at tagged generic package task begin goto pragma terminate body private then if procedure type case in protected constant interface is raise use declare range delay limited record when delta loop rem while digits renames with do mod requeue xor parallel",
+                literal="True False",
+            ),
+            contains=[
+                remark,
+                Mode(scope="string", begin='"', end='"', contains=[Mode(begin='""', relevance=0)]),
+                Mode(scope="string", begin="'.'"),
+                number(rf"\b(?:{whole}#\w+(?:\.\w+)?#{power}|{whole}(?:\.{whole})?{power})"),
+                Mode(scope="symbol", begin=f"'{name}"),
+                hidden(r"(\bwith\s+)?(\bprivate\s+)?\bpackage\s+(\bbody\s+)?", "(is|$)", "title", exclude_end=True, keywords=words("package body")),
+                Mode(
+                    begin=r"(\b(with|overriding)\s+)?\b(function|procedure)\s+",
+                    end=r"(\bis|\bwith|\brenames|\)\s*;)",
+                    return_begin=True,
+                    keywords=words("overriding function procedure with is renames return"),
+                    contains=[
+                        remark,
+                        hidden(r"(\bwith\s+)?\b(function|procedure)\s+", r"(\(|\s+|$)", "title", exclude_end=True),
+                        declared,
+                        hidden(r"\breturn\s+", r"(\s+|;|$)", "type", exclude_end=True, ends_parent=True, keywords=words("return")),
+                    ],
+                ),
+                hidden(r"\b(sub)?type\s+", r"\s+", "type", keywords=words("type")),
+                declared,
+            ],
+        ),
+        case_insensitive=True,
+    )
