@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..model import Hints
-from . import code, compiled, config, data, ecma, functional, objects, scripts, symbolic
+from . import code, compiled, config, data, ecma, functional, objects, scripts, symbolic, web
 
 FACTORIES = {
     f.__name__: f
@@ -11,9 +11,9 @@ FACTORIES = {
         data.plaintext, data.json, data.diff, data.ini, data.properties, data.http, data.graphql, data.protobuf, data.xml, data.yaml, data.css, data.markdown,
         code.bash, code.shell, code.dockerfile, code.makefile, code.python, code.go, code.lua, code.sql, ecma.javascript, ecma.typescript,
         objects.csharp, objects.cpp, objects.c, objects.objectivec, objects.ruby,
-        compiled.rust, compiled.java, compiled.ocaml, compiled.delphi, compiled.zig, compiled.ada,
+        compiled.rust, compiled.java, compiled.ocaml, compiled.delphi, compiled.zig, compiled.ada, compiled.nim, compiled.armasm,
         config.terraform, config.cmake, config.nginx, config.fish, config.dos, config.apache, config.leaf, config.powershell,
-        symbolic.prolog, symbolic.lisp, symbolic.matlab, symbolic.elixir,
+        symbolic.prolog, symbolic.lisp, symbolic.matlab, symbolic.elixir, symbolic.scheme, web.php, web.nix,
         functional.haskell, functional.elm, functional.erlang, functional.scala,
         scripts.kotlin, scripts.groovy, scripts.r, scripts.coffeescript, scripts.dart, scripts.applescript,
     )
@@ -23,6 +23,7 @@ HINTS = {
     "ada": Hints.of("adb ads ada"),
     "apache": Hints.of("apacheconf vhost", ".htaccess"),
     "applescript": Hints.of("applescript scpt", "", "osascript"),
+    "armasm": Hints.of("s asm"),
     "bash": Hints.of("bash sh bats", ".bashrc .bash_profile .profile", "bash sh"),
     "c": Hints.of("c h"),
     "cmake": Hints.of("cmake", "cmakelists.txt"),
@@ -56,8 +57,11 @@ HINTS = {
     "markdown": Hints.of("md markdown mdown mkd", "readme"),
     "matlab": Hints.of("m", "", "matlab"),
     "nginx": Hints.of("nginx nginxconf", "nginx.conf"),
+    "nim": Hints.of("nim nims nimble", "", "nim"),
+    "nix": Hints.of("nix", "", "nix-shell"),
     "objectivec": Hints.of("h m mm"),
     "ocaml": Hints.of("ml mli", "", "ocaml"),
+    "php": Hints.of("php php3 php4 php5 phtml", "composer.json", "php"),
     "plaintext": Hints.of("txt text"),
     "powershell": Hints.of("ps1 psm1 psd1", "", "pwsh powershell"),
     "prolog": Hints.of("pro prolog", "", "swipl"),
@@ -68,6 +72,7 @@ HINTS = {
     "ruby": Hints.of("rb rake gemspec", "gemfile rakefile podfile brewfile", "ruby"),
     "rust": Hints.of("rs"),
     "scala": Hints.of("scala sc", "", "scala"),
+    "scheme": Hints.of("scm ss", "", "scheme guile"),
     "shell": Hints.of("shell-session"),
     "sql": Hints.of("sql"),
     "terraform": Hints.of("tf tfvars hcl", ".terraformrc"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..common import ESCAPE, IDENT, block_comment, comment, double, line_comment, number, single
+from ..common import ESCAPE, IDENT, block_comment, comment, double, hash_comment, line_comment, number, single
 from ..model import SELF, Keywords, Language, Mode, words
 
 NAME = r"[a-zA-Z_]\w*"
@@ -277,3 +277,60 @@ def ada() -> Language:
         ),
         case_insensitive=True,
     )
+
+
+def nim() -> Language:
+    suffix = "('?[iIuUfF](8|16|32|64))?"
+    kinds = (r"\b(0[xX][0-9a-fA-F][_0-9a-fA-F]*)('?[iIuU](8|16|32|64))?", rf"\b(0o[0-7][_0-7]*){suffix}", rf"\b(0(b|B)[01][_01]*){suffix}", rf"\b(\d[_\d]*){suffix}")
+    sized = " ".join(f"{kind}{bits}" for kind, all_bits in (("int", ("", 8, 16, 32, 64)), ("uint", ("", 8, 16, 32, 64)), ("float", ("", 32, 64))) for bits in all_bits)
+    return Language(
+        "nim",
+        Mode(
+            keywords=words(
+                "addr and as asm bind block break case cast concept const continue converter defer discard distinct div do elif else end enum except export finally for from func generic guarded if import in include interface is isnot iterator let macro method mixin mod nil not notin object of or out proc ptr raise ref return shared shl shr static template try tuple type using var when while with without xor yield",
+                literal="true false",
+                type=f"{sized} bool char string cstring pointer expr stmt void auto any range array openarray varargs seq set clong culong cchar cschar cshort cint csize clonglong cfloat cdouble clongdouble cuchar cushort cuint culonglong cstringarray semistatic",
+                built_in="stdin stdout stderr result",
+            ),
+            contains=[
+                Mode(scope="meta", begin=r"\{\.", end=r"\.\}", relevance=10),
+                Mode(scope="string", begin=r'[a-zA-Z]\w*"', end='"', contains=[Mode(begin='""')]),
+                Mode(scope="string", begin=r'([a-zA-Z]\w*)?"""', end='"""'),
+                double(),
+                Mode(scope="type", begin=r"\b[A-Z]\w+\b", relevance=0),
+                Mode(scope="number", relevance=0, variants=[Mode(begin=k) for k in kinds]),
+                hash_comment(),
+            ],
+        ),
+    )
+
+
+# Directives, status registers, variables, and mnemonics as patterns.
+ARM_DIRECTIVES = ".2byte .4byte .align .ascii .asciz .balign .byte .code .data .else .end .endif .endm .endr .equ .err .exitm .extern .global .hword .if .ifdef .ifndef .include .irp .long .macro .rept .req .section .set .skip .space .text .word .arm .thumb .code16 .code32 .force_thumb .thumb_func .ltorg ALIAS ALIGN ARM AREA ASSERT ATTR CN CODE CODE16 CODE32 COMMON CP DATA DCB DCD DCDU DCDO DCFD DCFDU DCI DCQ DCQU DCW DCWU DN ELIF ELSE END ENDFUNC ENDIF ENDP ENTRY EQU EXPORT EXPORTAS EXTERN FIELD FILL FUNCTION GBLA GBLL GBLS GET GLOBAL IF IMPORT INCBIN INCLUDE INFO KEEP LCLA LCLL LCLS LTORG MACRO MAP MEND MEXIT NOFP OPT PRESERVE8 PROC QN READONLY RELOC REQUIRE REQUIRE8 RLIST FN ROUT SETA SETL SETS SN SPACE SUBT THUMB THUMBX TTL WHILE WEND"
+ARM_STATUS = "c x s f cx cxs xs xsf sf cxsf"
+ARM_VARIABLES = "{PC} {VAR} {TRUE} {FALSE} {OPT} {CONFIG} {ENDIAN} {CODESIZE} {CPU} {FPU} {ARCHITECTURE} {PCSTOREOFFSET} {ARMASM_VERSION} {INTER} {ROPI} {RWPI} {SWST} {NOSWST} . @"
+ARM_MNEMONICS = r"adc|(qd?|sh?|u[qh]?)?add(8|16)?|usada?8|(q|sh?|u[qh]?)?(as|sa)x|and|adrl?|sbc|rs[bc]|asr|b[lx]?|blx|bxj|cbn?z|tb[bh]|bic|bfc|bfi|[su]bfx|bkpt|cdp2?|clz|clrex|cmp|cmn|cpsi[ed]|cps|setend|dbg|dmb|dsb|eor|isb|it[te]{0,3}|lsl|lsr|ror|rrx|ldm(([id][ab])|f[ds])?|ldr((s|ex)?[bhd])?|movt?|mvn|mra|mar|mul|[us]mull|smul[bwt][bt]|smu[as]d|smmul|smmla|mla|umlaal|smlal?([wbt][bt]|d)|mls|smlsl?[ds]|smc|svc|sev|mia([bt]{2}|ph)?|mrr?c2?|mcrr2?|mrs|msr|orr|orn|pkh(tb|bt)|rbit|rev(16|sh)?|sel|[su]sat(16)?|nop|pop|push|rfe([id][ab])?|stm([id][ab])?|str(ex)?[bhd]?|(qd?)?sub|(sh?|q|u[qh]?)?sub(8|16)|[su]xt(a?h|a?b(16)?)|srs([id][ab])?|swpb?|swi|smi|tst|teq|wfe|wfi|yield"
+
+
+def armasm() -> Language:
+    numbered = (("r", 0, 15), ("w", 0, 30), ("x", 0, 30), ("a", 1, 4), ("v", 1, 8), ("f", 0, 7), ("p", 0, 15), ("c", 0, 15), ("q", 0, 15), ("s", 0, 31), ("d", 0, 31))
+    registers = [f"{kind}{n}" for kind, first, last in numbered for n in range(first, last + 1)] + "pc lr sp ip sl sb fp".split() + [f"{kind}psr_{fields}" for kind in "cs" for fields in ARM_STATUS.split()]
+    remark = Mode(variants=[comment(r"^[ \t]*(?=#)", "$", relevance=0, exclude_begin=True), comment("[;@]", "$", relevance=0), line_comment(), block_comment()])
+    marks = r"[a-z_\.\$][a-z0-9_\.\$]+"
+    return Language(
+        "armasm",
+        Mode(
+            keywords=words(pattern=rf"\.?{IDENT}", meta=ARM_DIRECTIVES, built_in=f"{' '.join(registers)} {ARM_VARIABLES}"),
+            contains=[
+                Mode(scope="keyword", begin=rf"\b({ARM_MNEMONICS})(eq|ne|cs|cc|mi|pl|vs|vc|hi|ls|ge|lt|gt|le|al|hs|lo)?[sptrx]?(?=\s)"),
+                remark,
+                double(),
+                Mode(scope="string", begin="'", end=r"[^\\]'", relevance=0),
+                Mode(scope="title", begin=r"\|", end=r"\|", illegal=r"\n", relevance=0),
+                Mode(scope="number", relevance=0, variants=[Mode(begin=p) for p in ("[#$=]?0x[0-9a-f]+", "[#$=]?0b[01]+", r"[#$=]\d+", r"\b\d+")]),
+                Mode(scope="symbol", relevance=0, variants=[Mode(begin=p) for p in (rf"^[ \t]*{marks}:", f"^{marks}", r"[=#]\w+")]),
+            ],
+        ),
+        ("arm",),
+        case_insensitive=True,
+    )
