@@ -10,7 +10,7 @@ FACTORIES = {
     for f in (
         data.plaintext, data.json, data.diff, data.ini, data.properties, data.http, data.graphql, data.protobuf, data.xml, data.yaml, data.css, data.markdown,
         code.bash, code.shell, code.dockerfile, code.makefile, code.python, code.go, code.lua, code.sql, ecma.javascript, ecma.typescript,
-        objects.csharp, objects.cpp, objects.c, objects.objectivec, objects.ruby,
+        objects.csharp, objects.cpp, objects.c, objects.objectivec, objects.ruby, objects.swift,
         compiled.rust, compiled.java, compiled.ocaml, compiled.delphi, compiled.zig, compiled.ada, compiled.nim, compiled.armasm,
         config.terraform, config.cmake, config.nginx, config.fish, config.dos, config.apache, config.leaf, config.powershell,
         symbolic.prolog, symbolic.lisp, symbolic.matlab, symbolic.elixir, symbolic.scheme, web.php, web.nix,
@@ -75,6 +75,7 @@ HINTS = {
     "scheme": Hints.of("scm ss", "", "scheme guile"),
     "shell": Hints.of("shell-session"),
     "sql": Hints.of("sql"),
+    "swift": Hints.of("swift", "package.swift", "swift"),
     "terraform": Hints.of("tf tfvars hcl", ".terraformrc"),
     "typescript": Hints.of("ts tsx d.ts mts cts", "", "ts-node deno"),
     "xml": Hints.of("xml html htm xhtml svg plist storyboard xib"),
