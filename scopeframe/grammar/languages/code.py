@@ -75,8 +75,9 @@ def makefile() -> Language:
 
 
 def python() -> Language:
+    reserved = "and as assert async await break case class continue def del elif else except finally for from global if import in is lambda match nonlocal|10 not or pass raise return try type while with yield"
     keywords = words(
-        "and as assert async await break case class continue def del elif else except finally for from global if import in is lambda match nonlocal|10 not or pass raise return try type while with yield",
+        reserved,
         pattern=r"[A-Za-z]\w+|__\w+__",
         literal="__debug__ Ellipsis False None NotImplemented True",
         type="Any Callable Coroutine Dict List Literal Generic Optional Sequence Set Tuple Type Union",
@@ -97,10 +98,12 @@ def python() -> Language:
     for v in text.variants[-2:]:
         v.scope = None
     digits = r"[0-9](_?[0-9])*"
+    # a number may touch the word that follows
+    after = rf"(?=\b|{'|'.join(w.split('|')[0] for w in reserved.split())})"
     numeric = Mode(
         scope="number",
         relevance=0,
-        variants=[Mode(begin=p) for p in (rf"(\b({digits})|((\b({digits}))?\.({digits})|\b({digits})\.))[eE][+-]?({digits})[jJ]?(?=\b|and|or|in)", rf"((\b({digits}))?\.({digits})|\b({digits})\.)[jJ]?", r"\b([1-9](_?[0-9])*|0+(_?0)*)[lLjJ]?(?=\b|and|or|in)", r"\b0[bB](_?[01])+[lL]?(?=\b)", r"\b0[oO](_?[0-7])+[lL]?(?=\b)", r"\b0[xX](_?[0-9a-fA-F])+[lL]?(?=\b)", rf"\b({digits})[jJ](?=\b)")],
+        variants=[Mode(begin=p) for p in (rf"(\b({digits})|((\b({digits}))?\.({digits})|\b({digits})\.))[eE][+-]?({digits})[jJ]?{after}", rf"((\b({digits}))?\.({digits})|\b({digits})\.)[jJ]?", rf"\b([1-9](_?[0-9])*|0+(_?0)*)[lLjJ]?{after}", rf"\b0[bB](_?[01])+[lL]?{after}", rf"\b0[oO](_?[0-7])+[lL]?{after}", rf"\b0[xX](_?[0-9a-fA-F])+[lL]?{after}", rf"\b({digits})[jJ]{after}")],
     )
     remark = hash_comment()
     params = Mode(scope="params", variants=[Mode(scope=None, begin=r"\(\s*\)", skip=True), Mode(begin=r"\(", end=r"\)", exclude_begin=True, exclude_end=True, keywords=keywords, contains=[SELF, prompt, numeric, text, remark])])
