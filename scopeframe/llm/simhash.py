@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import resemble
 from .components import components
 from .runtime import parts, prepare
 from .wordbuf import LOWER, Words, mix, pieces
@@ -220,14 +221,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one (that of the smallest id) of each group left; rows that repeat an id count as one group."""
-    every = groups(docs, id_col, text_col)
-    rows = every.groupBy(id_col).agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_n")).checkpoint()
-    gone = rows.where(~F.col(id_col).eqNullSafe(F.col("_c"))).select(F.col(id_col).alias("_gone"))
-    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    if rows.where("_n > 1").limit(1).count():
-        left = left.dropDuplicates([id_col])
-    return left
+    """The documents with one row of each group left: of texts whose five-word shingles have a Jaccard similarity of 0.8, or that
+    are joined by others that have.  The row of the smallest id stays, null ids last, equal ones by a hash of the row."""
+    prepare(docs.sparkSession)
+    own = docs.withColumn("_h", F.xxhash64(*docs.columns))
+    rows = resemble.keyed(own, text_col, id_col, "_h").checkpoint()
+    found = resemble.roots(docs, text_col)
+    place = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_h").alias("h"))
+    placed = rows.join(found, rows.item == found.node, "left").select(F.coalesce("root", "item").alias("_root"), place.alias("_place"))
+    first = placed.groupBy("_root").agg(F.min("_place").alias("_first"))
+    gone = placed.join(first, "_root").where(~F.col("_place").eqNullSafe(F.col("_first"))).select(F.col("_place.id").alias("_gone"), F.col("_place.h").alias("_gone_h")).distinct()
+    left = own.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti")
+    if rows.groupBy(id_col, "_h").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates([id_col, "_h"])
+    return left.drop("_h")
 
 
 def op2(docs: DataFrame) -> DataFrame:

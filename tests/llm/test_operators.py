@@ -91,6 +91,32 @@ def test_simhash(docs, none):
     assert sorted(r.doc_id for r in simhash.near_dedup(docs.where("doc_id is not null")).collect()) == sorted(set(least.values()))
 
 
+def test_near_dedup_keeps_one_row_of_each_group_of_similar_texts(spark, none):
+    """Against brute-force Jaccard similarity of five-word shingles, over chains and a large group."""
+    r = random.Random(8)
+    texts = [prose(r.randint(1, 90)) for _ in range(30)] + [None, "", "b a", "B  a", "b a c"]
+    common = prose(30)
+    texts += [common + " " + prose(60) for _ in range(40)]
+    for _ in range(150):
+        w = (r.choice(texts) or "x").split(" ")
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append(" ".join(w))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words((t or "").lower())) else frozenset() for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for i, a in enumerate(sets):
+        for k, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                up[max(root(i), root(k))] = min(root(i), root(k))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert sorted(x.doc_id for x in simhash.near_dedup(df).collect()) == [i for i in range(len(texts)) if up[i] == i]
+    assert simhash.near_dedup(none).count() == 0
+
+
 def test_ball_hashing_loses_no_link():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 20, dtype=np.uint64)
