@@ -117,6 +117,14 @@ def test_near_dedup_keeps_one_row_of_each_group_of_similar_texts(spark, none):
     assert simhash.near_dedup(none).count() == 0
 
 
+def test_near_dedup_decides_by_row(spark):
+    """Null ids and different texts under one id."""
+    a, b, c, d = (prose(50) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (1, a), (2, c), (2, d), (3, c), (0, d), (4, "x"), (4, "x")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    assert sorted(((r.doc_id, r.text) for r in simhash.near_dedup(df).collect()), key=str) == sorted([(None, b), (1, a), (2, c), (0, d), (4, "x")], key=str)
+
+
 def test_ball_hashing_loses_no_link():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 20, dtype=np.uint64)
