@@ -4,7 +4,7 @@ Log posterior = log host prior + tempered text log likelihood + log likelihoods
 of the declared markup language and of the address suffix.
 
 Text: byte-bigram models with add-one smoothing, fitted on a bounded sample of
-labelled documents (SAMPLE_ROWS rows for each language, by a hash of their text) and
+labelled documents (SAMPLE_ROWS different texts for each language, by their hash) and
 applied to whole texts.  Host priors: each text votes for its likeliest language;
 votes are counted over all rows by host and by site (the host without its first
 label, or the source's letters), and smoothed from all to site to host.
@@ -17,14 +17,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .runtime import prepare
 from .wordbuf import pieces
 
-#: Labelled rows for each language that the models are fitted on, with their whole texts.
+#: Different labelled texts for each language that the models are fitted on, whole.
 SAMPLE_ROWS = 300
 #: Bigrams overlap and depend on one another; their log likelihood is divided by this.
 TEMPER = 4.0
@@ -74,18 +74,41 @@ class Models:
         return out / TEMPER, count
 
 
+def _sampled(known: DataFrame, rows: int) -> DataFrame:
+    """(lang, h): the rows least hashes of different texts of each language, first of each task and then of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, h = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            of = langs.indices.to_numpy()
+            for k, name in enumerate(langs.dictionary.to_pylist()):
+                least[name] = np.unique(np.r_[least.get(name, h[:0]), h[of == k]])[:rows]
+        for name, h in least.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h)], names=["lang", "h"])
+
+    some = known.select("lang", F.xxhash64("t").alias("h")).mapInArrow(run, "lang string, h long").distinct()
+    return some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows).select("lang", "h")
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Models:
-    """Models of the languages named in lang_col, at most 64 of them, from at most rows rows of each."""
+    """Models of all languages named in lang_col, from at most rows different texts of each."""
     prepare(labelled.sparkSession)
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    names = sorted(r[0] for r in known.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(64).select(lang_col).collect())
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    names = sorted(r[0] for r in known.select("lang").distinct().collect())
     if not names:
         return Models(["und"], np.zeros((1, 1 << 16)))
-    count = np.zeros((len(names), 1 << 16))
-    picked = reduce(DataFrame.unionAll, [known.where(F.col(lang_col) == name).select(F.lit(k).alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).orderBy("h", "t").limit(rows) for k, name in enumerate(names)])
-    for r in picked.collect():
-        pair, _ = bigrams([r.t.encode()])
-        count[r.k] += np.bincount(pair, minlength=1 << 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pair, n = np.unique(bigrams([text.encode()])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pair), pa.string()), pa.array(pair.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "pair", "n"])
+
+    picked = known.withColumn("h", F.xxhash64("t")).join(F.broadcast(_sampled(known, rows)), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("t").alias("t"))
+    found = picked.select("lang", "t").mapInArrow(run, "lang string, pair long, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).toArrow()
+    count, place = np.zeros((len(names), 1 << 16)), {name: k for k, name in enumerate(names)}
+    count[[place[x] for x in found.column("lang").to_pylist()], found.column("pair").to_numpy()] = found.column("n").to_numpy()
     seen = (count.sum(axis=0) > 0).sum() + 1
     table = np.log((count + 1) / (count.sum(axis=1, keepdims=True) + seen))
     return Models(names, table - table.max(axis=0))

@@ -282,6 +282,18 @@ def test_language(spark, none):
     assert {r.page_id: (r.lang, r.kept) for r in langid.identify_pages(pages, df).collect()}[1] == ("fr", True)
 
 
+def test_language_fits_all_languages_on_different_texts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, (letters[i % 26] + letters[i // 26] + "q ") * 9, f"l{i:02}", "h", 1) for i in range(70)]
+    models = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert models.names == [f"l{i:02}" for i in range(70)]
+    assert [int(models.likelihoods([r[1].encode()])[0].argmax()) for r in rows] == list(range(70))
+    copies = spark.createDataFrame([(i, "aa", "x", "h", 1) for i in range(50)] + [(99, "bb", "x", "h", 1), (100, "cc", "y", "h", 1)], SCHEMA)
+    table = langid.fit(copies, rows=2).table
+    pair = [c << 8 | c for c in b"ab"]
+    assert table[0][pair[0]] == table[0][pair[1]] == 0 and all(table[1][pair] < 0)
+
+
 def test_quality(spark, none):
     rows = [(i, prose(60) if i % 3 else " ".join(w.upper() + "!!" for w in prose(60).split()), "en", "s", 1) for i in range(240)] + [(900, None, None, None, None), (901, "", None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
