@@ -32,8 +32,11 @@ TEMPER = 4.0
 DECLARED, SUFFIXED = 0.9, 0.8
 #: Votes that the wider level counts for.
 SMOOTHING = 20.0
-#: A document is kept if its best language is at least so likely, and its text has a pair of letters.
+#: A document is kept if its best language is at least so likely, and likelier than no known language, and its text has a pair of letters.
 LEAST = 0.3
+#: Where a language is compared with none: what a byte pair counts before any is seen (little, so that pairs of other scripts stay unlikely), and the
+#: share of pairs in a text of the language that are as in none.
+UNSEEN, FOREIGN = 0.001, 0.02
 #: Hosts whose priors may be broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 #: Suffixes of countries with one of the languages (fixed values).
@@ -43,6 +46,12 @@ _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _FOLD[[*range(32), *range(33, 65), *range(91, 97), *range(123, 128)]] = 32
 _FOLD = _FOLD.astype(np.uint8)
+#: Pairs of two letters; and the log likelihoods of pairs in no known language: half for ASCII, half for the rest, all alike.
+_LETTER = np.bincount(_FOLD, minlength=256) > 0
+_LETTER[32] = False
+_LETTERS = (_LETTER[:, None] & _LETTER[None, :]).ravel()
+_ASCII = ((np.arange(256) < 128)[:, None] & (np.arange(256) < 128)[None, :]).ravel()
+_NONE = np.where(_ASCII, np.log(0.5 / 27**2), np.log(0.5 / (155**2 - 27**2)))
 
 
 def bigrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,19 +68,23 @@ def bigrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Models:
-    def __init__(self, names: list[str], table: np.ndarray):
-        self.names, self.table = names, table
+    """known: by language, log likelihoods of pairs against those in no known language; without it, all is known."""
 
-    def likelihoods(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Tempered log likelihoods (texts by languages) and numbers of pairs."""
+    def __init__(self, names: list[str], table: np.ndarray, known: np.ndarray | None = None):
+        self.names, self.table, self.known = names, table, known
+
+    def likelihoods(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tempered log likelihoods (texts by languages), numbers of pairs, and whether a known language is likelier than none."""
         pair, count = bigrams(texts)
-        out = np.zeros((len(texts), len(self.names)))
+        out, known = np.zeros((len(texts), len(self.names))), np.zeros(len(texts), bool)
         some = np.flatnonzero(count)
         if len(some):
             at = np.cumsum(count) - count
             for k in range(len(self.names)):
                 out[some, k] = np.add.reduceat(self.table[k][pair], at[some])
-        return out / TEMPER, count
+                known[some] |= self.known is None or np.add.reduceat(self.known[k][pair], at[some]) > 0
+            known[some] &= np.add.reduceat(_LETTERS[pair].astype(np.int64), at[some]) > 0
+        return out / TEMPER, count, known
 
 
 def _sampled(known: DataFrame, rows: int) -> DataFrame:
@@ -111,11 +124,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     count[[place[x] for x in found.column("lang").to_pylist()], found.column("pair").to_numpy()] = found.column("n").to_numpy()
     seen = (count.sum(axis=0) > 0).sum() + 1
     table = np.log((count + 1) / (count.sum(axis=1, keepdims=True) + seen))
-    return Models(names, table - table.max(axis=0))
+    known = np.log((1 - FOREIGN) * (count + UNSEEN) / (count.sum(axis=1, keepdims=True) + UNSEEN * 155**2) / np.exp(_NONE) + FOREIGN)
+    return Models(names, table - table.max(axis=0), known)
 
 
 def likelihoods(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """The columns of df, and _ll (tempered log likelihoods) and _n (pairs of letters).  Nothing is shuffled."""
+    """The columns of df, and _ll (tempered log likelihoods), _n (pairs of bytes but two blanks) and _known (whether a known language is likelier than none).  Nothing is shuffled."""
     spark = prepare(df.sparkSession)
     shared = spark.sparkContext.broadcast(models)
     names = [f"c{i}" for i in range(len(df.columns))]
@@ -123,17 +137,17 @@ def likelihoods(df: DataFrame, models: Models, text_col: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, place, 1 << 20):
-            ll, n = shared.value.likelihoods(texts)
+            ll, n, known = shared.value.likelihoods(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, ll.shape[1], dtype=np.int32)), pa.array(ll.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(n.astype(np.int64))], names=[*names, "_ll", "_n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(n.astype(np.int64)), pa.array(known)], names=[*names, "_ll", "_n", "_known"])
 
     renamed = df.toDF(*names)
-    schema = T.StructType([*renamed.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType())])
-    return renamed.mapInArrow(run, schema).toDF(*df.columns, "_ll", "_n")
+    schema = T.StructType([*renamed.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType()), T.StructField("_known", T.BooleanType())])
+    return renamed.mapInArrow(run, schema).toDF(*df.columns, "_ll", "_n", "_known")
 
 
 def _vote(n: int) -> Column:
-    return F.expr(f"CASE WHEN _n > 0 THEN array_position(slice(_ll, 1, {n}), array_max(_ll)) - 1 END")
+    return F.expr(f"CASE WHEN _known THEN array_position(slice(_ll, 1, {n}), array_max(_ll)) - 1 END")
 
 
 def site_of(host: Column) -> Column:
@@ -142,7 +156,7 @@ def site_of(host: Column) -> Column:
 
 
 def host_priors(scored: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
-    """(_host, _prior: log priors by language) from the votes of all rows, and the shares over all; columns _host, _ll, _n."""
+    """(_host, _prior: log priors by language) from the votes of all rows, and the shares over all; columns _host, _ll, _known."""
     votes = scored.select("_host", _vote(n).alias("v")).where("v is not null")
     by_host = votes.groupBy("_host").agg(*[F.count(F.when(F.col("v") == k, 1)).alias(f"h{k}") for k in range(n)]).withColumn("_site", site_of(F.col("_host"))).checkpoint()
     total = by_host.agg(*[F.sum(f"h{k}") for k in range(n)]).first()
@@ -163,7 +177,7 @@ def _declared(value: Column, names: list[str], sure: float) -> Column:
 
 
 def fuse(scored: DataFrame, models: Models, markup: Column | None = None, suffix: Column | None = None, votes: DataFrame | None = None) -> DataFrame:
-    """Adds _lang, _posterior, _second, _kept to rows with _host, _ll, _n.  votes: the rows that vote, if a narrower table has them.
+    """Adds _lang, _posterior, _second, _kept to rows with _host, _ll, _n, _known.  votes: the rows that vote, if a narrower table has them.
 
     Without votes in all the table, or for a null host, the prior is that of all rows."""
     names, n = models.names, len(models.names)
@@ -182,7 +196,7 @@ def fuse(scored: DataFrame, models: Models, markup: Column | None = None, suffix
     name = F.array(*[F.lit(x) for x in names])
     out = out.withColumn("_lang", F.element_at(name, F.col("_order")[0]["i"].cast("int") + 1)).withColumn("_second", F.when(F.size("_order") > 1, F.element_at(name, F.col("_order")[1]["i"].cast("int") + 1)))
     out = out.withColumn("_posterior", -F.col("_order")[0]["p"] / F.col("_total"))
-    return out.withColumn("_kept", (F.col("_n") > 0) & (F.col("_posterior") >= LEAST)).drop("_sum", "_p", "_order", "_total")
+    return out.withColumn("_kept", F.col("_known") & (F.col("_posterior") >= LEAST)).drop("_sum", "_p", "_order", "_total")
 
 
 #: A language declared in markup, and the last label of a host.
@@ -199,8 +213,8 @@ def identify_documents(docs: DataFrame, labelled: DataFrame | None = None, id_co
     """(id, lang, posterior, second, kept, text_pairs) of every row.
 
     The source serves as host.  Null and empty texts, and those without two
-    letters in a row, have no text evidence: they get the prior's language and are not
-    kept.  Ties go to the language first in the alphabet.  Labels serve only to fit."""
+    letters in a row, get the prior's language and are not kept, nor are texts that are
+    likelier in no known language (other scripts, junk); neither votes.  Ties go to the language first in the alphabet.  Labels serve only to fit."""
     models = fit(docs if labelled is None else labelled)
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"), F.when(F.col(text_col).contains("<"), markup_of(F.col(text_col))).otherwise("").alias("_markup"))
     scored = likelihoods(picked, models, "_text").drop("_text").checkpoint()
@@ -227,7 +241,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", host_col: str = "so
     text, host = names[docs.columns.index(text_col)], names[docs.columns.index(host_col)]
     own = docs.toDF(*names)
     marked = lambda df: df.withColumn("_host", F.col(host)).withColumn("_markup", F.when(F.col(text).contains("<"), markup_of(F.col(text))).otherwise(""))
-    votes = likelihoods(marked(own.select(text, host)), models, text).select("_host", "_ll", "_n", "_markup")
+    votes = likelihoods(marked(own.select(text, host)), models, text).select("_host", "_ll", "_known", "_markup")
     fused = fuse(likelihoods(marked(own), models, text), models, F.col("_markup"), suffix_of(F.col("_host")), votes)
     return fused.where("_kept").select(*names).toDF(*docs.columns)
 

@@ -294,6 +294,14 @@ def test_language_fits_all_languages_on_different_texts(spark):
     assert table[0][pair[0]] == table[0][pair[1]] == 0 and all(table[1][pair] < 0)
 
 
+def test_language_rejects_other_scripts_and_junk(spark):
+    rows = [(i, "le chat et la souris que nous avons vus" if i % 2 else "the cat and the mouse that we have seen", "fr" if i % 2 else "en", "h", 1) for i in range(40)]
+    odd = ["привет как дела у вас сегодня", "今天天气很好我们去公园", "xqzk vjwq zzxk qqvj kxwz", "\x01\x02é\x03ÿ\x7fþ" * 9, "a", "1 a 2 b", "!?"]
+    df = spark.createDataFrame(rows + [(100 + i, t, None, "h", 1) for i, t in enumerate(odd)], SCHEMA)
+    assert sorted(r.doc_id for r in langid.op9(df).where("kept").collect()) == list(range(40))
+    assert sorted(r.doc_id for r in langid.keep_identified(df).collect()) == list(range(40))
+
+
 def test_quality(spark, none):
     rows = [(i, prose(60) if i % 3 else " ".join(w.upper() + "!!" for w in prose(60).split()), "en", "s", 1) for i in range(240)] + [(900, None, None, None, None), (901, "", None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
