@@ -3,8 +3,8 @@
 The automaton holds all pieces, as UTF-8 bytes.  In one pass over a word it gives, at
 each end, the pieces that end there (longest first, by its output links), and the
 best score up to that end is relaxed over them.  Many words take each step at
-once, as numpy arrays.  Characters that no piece covers are encoded as byte
-pieces, with the score of an unknown.
+once, as numpy arrays; very long ones alone.  Each character is also an edge of its own,
+with the score of an unknown: those that no piece covers are encoded as byte pieces.
 
 Spaces become U+2581, one is put in front.  No piece may hold a U+2581 after
 another character (checked), so words are independent: the best encoding of a
@@ -14,6 +14,7 @@ U+2581 in the text itself is encoded as bytes, so decoding gives back the text.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -81,7 +82,7 @@ class Automaton:
     """Aho-Corasick over byte strings, as tables: moves[256 * state + byte], and for each state the
     longest pattern that ends there and, for each pattern, the next shorter one (its output link)."""
 
-    def __init__(self, patterns: list[tuple[bytes, int, float]]):
+    def __init__(self, patterns: list[tuple[bytes, int, float]], byte_ids: list[int], unknown: float):
         children: list[dict[int, int]] = [{}]
         of_state: dict[int, int] = {}
         for k, (pattern, _, _) in enumerate(patterns):
@@ -100,6 +101,7 @@ class Automaton:
         self.length = np.array([0] + [len(p) for p, _, _ in patterns], np.int64)
         self.ident = np.array([0] + [i for _, i, _ in patterns], np.uint16)
         self.score = np.array([0.0] + [s for _, _, s in patterns])
+        self.byte_ids, self.unknown = np.array(byte_ids, np.uint16), unknown
         fails, row = [0] * len(children), [0]
         while row:
             below = []
@@ -119,19 +121,24 @@ class Automaton:
         self.moves = self.moves.ravel()
 
     def best_paths(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """words: a row a word, zero-padded, longest first.  (ids, right-aligned; their number, 0 if no path covers the word)."""
+        """words: a row a word, zero-padded, longest first.  (ids, right-aligned; their number).
+
+        Every character is also an edge of its own with the score of an unknown, written as its bytes; pieces win over it."""
         n, width = words.shape
         best = np.full((width + 1, n), -np.inf)
         best[0] = 0
-        scores, back = best.ravel(), np.zeros((width + 1, n), np.int32)
-        state = np.zeros(n, np.int64)
+        scores, back = best.ravel(), np.full((width + 1, n), -1, np.int32)
+        state, lead = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for end in range(1, width + 1):
             k = int(np.searchsorted(-lengths, -end, side="right"))  # words that reach this end
             state[:k] = self.moves[(state[:k] << 8) + words[:k, end - 1]]
+            whole = np.flatnonzero((words[:k, end] & 0xC0) != 0x80) if end < width else np.arange(k)
+            row, from_ = best[end], back[end]
+            row[whole] = scores[lead[whole] * n + whole] + self.unknown
+            lead[whole] = end
             pattern = self.longest[state[:k]]
             at = np.flatnonzero(pattern)
             pattern = pattern[at]
-            row, from_ = best[end], back[end]
             while len(at):
                 total = scores[(end - self.length[pattern]) * n + at] + self.score[pattern]
                 better = np.flatnonzero(total > row[at])
@@ -142,16 +149,46 @@ class Automaton:
                 more = np.flatnonzero(pattern)
                 at, pattern = at[more], pattern[more]
         ids, count, left = np.zeros((n, width), np.uint16), np.zeros(n, np.int64), lengths.copy()
-        at, step = np.flatnonzero(best[lengths, np.arange(n)] > -np.inf), width
+        at, step = np.flatnonzero(lengths), width
         while len(at):
             step -= 1
             pattern = back[left[at], at]
-            ids[at, step] = self.ident[pattern]
+            # inside an unknown character every place leads one byte back
+            ids[at, step] = np.where(pattern < 0, self.byte_ids[words[at, left[at] - 1]], self.ident[pattern])
             count[at] += 1
-            left[at] -= self.length[pattern]
+            left[at] -= np.where(pattern < 0, 1, self.length[pattern])
             at = at[left[at] > 0]
         return ids, count
 
+    @functools.cached_property
+    def lists(self) -> tuple[list, ...]:
+        return tuple(x.tolist() for x in (self.longest, self.link, self.length, self.ident, self.score, self.byte_ids))
+
+    def best_path(self, word: bytes) -> np.ndarray:
+        """The same for one word, step by step, in memory by its length: for words too long to lie beside others."""
+        longest, link, length, ident, score, byte_ids = self.lists
+        moves, n = self.moves, len(word)
+        best, back = array.array("d", [0.0]) * (n + 1), array.array("i", [-1]) * (n + 1)
+        state = lead = 0
+        for end in range(1, n + 1):
+            state = int(moves[state << 8 | word[end - 1]])
+            if end < n and word[end] & 0xC0 == 0x80:
+                continue
+            top, by = best[lead] + self.unknown, -1
+            pattern = longest[state]
+            while pattern:
+                total = best[end - length[pattern]] + score[pattern]
+                if total > top:
+                    top, by = total, pattern
+                pattern = link[pattern]
+            best[end], back[end], lead = top, by, end
+        out, at = [], n
+        while at:
+            by = back[at]
+            out.append(byte_ids[word[at - 1]] if by < 0 else ident[by])
+            at -= 1 if by < 0 else length[by]
+        return np.array(out[::-1], np.uint16)
+
 
 @dataclass
 class Vocabulary:
@@ -185,15 +222,15 @@ def vocabulary(model: bytes) -> Vocabulary:
     alphabet = set("".join(scores))
     if any(c not in scores for c in alphabet):
         raise ValueError("a character occurs in pieces but is none")
-    automaton = Automaton([(p.encode(), i, s) for p, (i, s) in scores.items()])
     least = min((s for _, s in scores.values()), default=0.0)
+    automaton = Automaton([(p.encode(), i, s) for p, (i, s) in scores.items()], byte_ids, least - UNKNOWN_PENALTY)
     alone = np.array([b < 128 and chr(b) not in alphabet for b in range(256)])
     return Vocabulary(automaton, scores, max(map(len, scores), default=0), decoded, byte_ids, least - UNKNOWN_PENALTY, alone)
 
 
 def viterbi(v: Vocabulary, word: str) -> tuple[list[int], float]:
-    """Ids of the best encoding of one string and its score, with unknown characters; for strings the automaton's tables
-    don't cover, and as a plain form to hold these against.  Of equal scores the longest last piece wins."""
+    """Ids of the best encoding of one string and its score, without the automaton: a plain form to hold it against.  Of equal scores the
+    longest last piece wins."""
     best, back = [0.0], [(0, -1)]
     for end in range(1, len(word) + 1):
         best.append(best[end - 1] + v.unknown)
@@ -211,14 +248,22 @@ def viterbi(v: Vocabulary, word: str) -> tuple[list[int], float]:
     return ids[::-1], best[-1]
 
 
-#: Bytes of the longest word that the arrays take; longer ones go one by one.
+#: Bytes of the longest word that lies beside others in arrays; longer ones take the same steps one by one.
 WIDTH = 128
 
 
+def same_as_first(data: np.ndarray, start: np.ndarray, length: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of the word its number in model names (of the same length)."""
+    at = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(at, length)
+    equal = data[np.repeat(start, length) + place] == data[np.repeat(start[model], length) + place]
+    return np.logical_and.reduceat(equal, at)
+
+
 def encode(v: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and the place of each text's first id (and the end).
 
-    Equal words (by a 64-bit hash and length) are encoded once."""
+    Equal words are encoded once: those of equal hashes whose bytes agree."""
     raw = b"".join([b" " + t for t in texts if t])
     sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     data = np.frombuffer(raw, np.uint8)
@@ -236,8 +281,18 @@ def encode(v: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.nda
     power, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    hashes = mix((sums[start + length] - sums[start]) * inverse[start]) ^ length.astype(np.uint64)
+    hashes = mix((sums[start + length] - sums[start]) * inverse[start]) + mix(length.astype(np.uint64))
     _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+    same = same.ravel()
+    unlike = length[first][same] != length
+    unlike[~unlike] = ~same_as_first(data, np.r_[start[first], start[~unlike]], np.r_[length[first], length[~unlike]], np.r_[np.arange(len(first)), same[~unlike]])[len(first) :]
+    if unlike.any():
+        # words that only share a hash with another get numbers of their own
+        place = np.flatnonzero(unlike)
+        own: dict[bytes, int] = {}
+        for k in place.tolist():
+            same[k] = len(first) + own.setdefault(raw[start[k] : start[k] + length[k]], len(own))
+        first = np.r_[first, place[np.unique(same[place], return_index=True)[1]]]
 
     words, size = start[first], length[first]
     order = np.argsort(-size, kind="stable")
@@ -247,32 +302,17 @@ def encode(v: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.nda
     slow = int(np.searchsorted(-size, -WIDTH, side="left"))
     ids: list[np.ndarray] = []
     count = np.zeros(len(size), np.int64)
-    lo = 0
-    while lo < len(size):
-        if lo < slow:
-            hi = lo + 1
-            found, n = np.zeros((1, 0), np.uint16), np.zeros(1, np.int64)
-        else:
-            hi = min(lo + (1 << 14), len(size))
-            width = int(size[lo])
-            at = words[lo:hi, None] + np.arange(width)
-            found, n = v.automaton.best_paths(np.where(np.arange(width) < size[lo:hi, None], data[np.minimum(at, len(data) - 1)], 0), size[lo:hi])
-        missing = np.flatnonzero(n == 0)
-        if len(missing):
-            # characters outside all pieces, or a very long word
-            plain = {int(k): viterbi(v, raw[words[lo + k] : words[lo + k] + size[lo + k]].decode())[0] for k in missing}
-            n[missing] = [len(x) for x in plain.values()]
-            wide = np.zeros((hi - lo, max(found.shape[1], int(n.max()))), np.uint16)
-            if found.shape[1]:
-                wide[:, -found.shape[1] :] = found
-            for k, x in plain.items():
-                wide[k, -len(x) :] = x
-            found = wide
-        count[lo:hi] = n
-        ids.append(found[np.arange(found.shape[1]) >= found.shape[1] - n[:, None]])
-        lo = hi
+    for k in range(slow):
+        ids.append(v.automaton.best_path(raw[words[k] : words[k] + size[k]]))
+        count[k] = len(ids[-1])
+    for lo in range(slow, len(size), 1 << 14):
+        hi = min(lo + (1 << 14), len(size))
+        width = int(size[lo])
+        at = words[lo:hi, None] + np.arange(width)
+        found, count[lo:hi] = v.automaton.best_paths(np.where(np.arange(width) < size[lo:hi, None], data[np.minimum(at, len(data) - 1)], 0), size[lo:hi])
+        ids.append(found[np.arange(width) >= width - count[lo:hi, None]])
     packed, at = np.concatenate(ids), np.cumsum(count) - count
-    word = rank[same.ravel()]
+    word = rank[same]
     many = count[word]
     stop = np.cumsum(many)
     out = packed[np.repeat(at[word] - (stop - many), many) + np.arange(stop[-1])]
