@@ -158,70 +158,82 @@ class Media:
 _TRACK_FIELDS = {TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "duration", CHANNELS: "channels", BIT_DEPTH: "bits"}
 
 
-def parse(data: bytes) -> Media:
-    """Raises ValueError for data that is no whole file of this kind; unknown elements are passed over."""
+#: Masters inside one another; files of this format need six.
+MOST_DEPTH = 32
+
+
+def parse(data: bytes | None) -> Media:
+    """Raises ValueError for data that is no whole file of this kind, whatever it holds; unknown elements are passed over."""
     out = Media()
-    segment = 0
-    time = 0
-    pending: list[tuple[int, int, int, int]] = []
-
-    def walk(at: int, end: int, parent: int) -> int:
-        nonlocal segment, time
-        while at < end:
-            begin = at
-            ident, at = vint(data, at, marker=True)
-            size, at = vint(data, at)
-            if size < 0:
-                if ident not in (SEGMENT, CLUSTER):
-                    raise ValueError(f"unknown size at {begin}")
-                stop = end
-            else:
-                stop = at + size
-            if stop > end:
-                raise ValueError(f"element at {begin} is cut off")
-            if parent == CLUSTER and ident in (CLUSTER, CUES, INFO, TRACKS):
-                return begin  # ends a cluster of unknown size
-            if ident in MASTERS:
-                if ident == SEGMENT:
-                    segment = at
-                elif ident == CLUSTER:
-                    out.clusters.append(begin)
-                    time = 0
-                elif ident == TRACK_ENTRY:
-                    out.tracks.append({})
-                elif ident == CUE_POINT:
-                    out.cues.append((0, 0, 0))
-                at = walk(at, stop, ident)
-                continue
-            if ident in (SIMPLE_BLOCK, BLOCK):
-                track, body = vint(data, at)
-                shift, flags = struct.unpack_from(">hB", data, body)
-                kind = flags >> 1 & 3
-                duration = next((t.get("duration", 0) for t in out.tracks if t.get("number") == track), 0)
-                for k, (place, n) in enumerate(unlace(data, body + 3, stop, kind)):
-                    out.packets.append((track, (time + shift) * out.scale + k * duration, place, n, len(out.clusters) - 1, kind))
-            elif ident == TIMESTAMP:
-                time = int.from_bytes(data[at:stop], "big")
-            elif ident == TIMESTAMP_SCALE:
-                out.scale = int.from_bytes(data[at:stop], "big")
-            elif ident == DOC_TYPE:
-                out.doc_type = data[at:stop].decode()
-            elif ident == CODEC_ID:
-                out.tracks[-1]["codec"] = data[at:stop].decode()
-            elif ident == SAMPLING_FREQUENCY:
-                out.tracks[-1]["rate"] = struct.unpack(">d" if size == 8 else ">f", data[at:stop])[0]
-            elif ident in _TRACK_FIELDS:
-                out.tracks[-1][_TRACK_FIELDS[ident]] = int.from_bytes(data[at:stop], "big")
-            elif parent in (CUE_POINT, CUE_TRACK_POSITIONS):
-                value, (t, track, place) = int.from_bytes(data[at:stop], "big"), out.cues[-1]
-                out.cues[-1] = (value * out.scale if ident == CUE_TIME else t, value if ident == CUE_TRACK else track, value + segment if ident == CUE_CLUSTER_POSITION else place)
-            at = stop
-        return at
+    try:
+        _parse(bytes(data or b""), out)
+    except (IndexError, struct.error, UnicodeDecodeError, OverflowError) as e:
+        raise ValueError(f"bad element: {e}") from e
+    return out
 
+
+def _parse(data: bytes, out: Media) -> None:
     if not data or vint(data, 0, marker=True)[0] != EBML:
         raise ValueError("no EBML header")
-    walk(0, len(data), 0)
-    return out
+    segment = time = at = 0
+    #: open masters: (end, element)
+    open_ = [(len(data), 0)]
+    while open_:
+        end, parent = open_[-1]
+        if at >= end:
+            open_.pop()
+            continue
+        begin = at
+        ident, at = vint(data, at, marker=True)
+        size, at = vint(data, at)
+        if size < 0 and ident not in (SEGMENT, CLUSTER):
+            raise ValueError(f"unknown size at {begin}")
+        stop = end if size < 0 else at + size
+        if stop > end:
+            raise ValueError(f"element at {begin} is cut off")
+        if parent == CLUSTER and ident in (CLUSTER, CUES, INFO, TRACKS):
+            open_.pop()  # ends a cluster of unknown size
+            at = begin
+            continue
+        if ident in MASTERS:
+            if len(open_) > MOST_DEPTH:
+                raise ValueError(f"elements nested too deep at {begin}")
+            if ident == SEGMENT:
+                segment = at
+            elif ident == CLUSTER:
+                out.clusters.append(begin)
+                time = 0
+            elif ident == TRACK_ENTRY:
+                out.tracks.append({})
+            elif ident == CUE_POINT:
+                out.cues.append((0, 0, 0))
+            open_.append((stop, ident))
+            continue
+        if ident in (SIMPLE_BLOCK, BLOCK):
+            track, body = vint(data, at)
+            shift, flags = struct.unpack_from(">hB", data, body)
+            kind = flags >> 1 & 3
+            duration = next((t.get("duration", 0) for t in out.tracks if t.get("number") == track), 0)
+            for k, (place, n) in enumerate(unlace(data, body + 3, stop, kind)):
+                out.packets.append((track, (time + shift) * out.scale + k * duration, place, n, len(out.clusters) - 1, kind))
+        elif ident == TIMESTAMP:
+            time = int.from_bytes(data[at:stop], "big")
+        elif ident == TIMESTAMP_SCALE:
+            out.scale = int.from_bytes(data[at:stop], "big")
+        elif ident == DOC_TYPE:
+            out.doc_type = data[at:stop].decode()
+        elif ident == CODEC_ID:
+            out.tracks[-1]["codec"] = data[at:stop].decode()
+        elif ident == SAMPLING_FREQUENCY:
+            out.tracks[-1]["rate"] = struct.unpack(">d" if size == 8 else ">f", data[at:stop])[0]
+        elif ident in _TRACK_FIELDS:
+            out.tracks[-1][_TRACK_FIELDS[ident]] = int.from_bytes(data[at:stop], "big")
+        elif parent in (CUE_POINT, CUE_TRACK_POSITIONS):
+            value, (t, track, place) = int.from_bytes(data[at:stop], "big"), out.cues[-1]
+            out.cues[-1] = (value * out.scale if ident == CUE_TIME else t, value if ident == CUE_TRACK else track, value + segment if ident == CUE_CLUSTER_POSITION else place)
+        at = stop
+    if not segment:
+        raise ValueError("no segment")
 
 
 def padded(text: bytes | None) -> bytes:
@@ -237,6 +249,8 @@ def samples(data: bytes, media: Media, track: int = 1) -> bytes:
 def feature(payload: bytes, media: Media) -> str:
     """packets:clusters:duration in ms:mean:root mean square:share of sign changes, of the samples as offset binary."""
     x = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
+    if not len(x):
+        return f"{len(media.packets)}:{len(media.clusters)}:0:::"
     ms = len(x) * 1000 // RATE
     n = len(x)
     changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
@@ -265,30 +279,59 @@ def packets(media: DataFrame, media_col: str = "media") -> DataFrame:
     @F.udf(f"struct<packets:{PACKETS},error:string>", useArrow=True)
     def table(data):
         try:
-            return [tuple(p) for p in parse(bytes(data)).packets], None
-        except (ValueError, IndexError, struct.error, TypeError) as e:
+            return [tuple(p) for p in parse(data).packets], None
+        except ValueError as e:
             return [], str(e)
 
     others = [c for c in media.columns if c != media_col]
     return media.withColumn("_p", table(media_col)).select(*others, F.explode_outer("_p.packets").alias("_q"), F.col("_p.error").alias("error")).select(*others, "_q.*", "error")
 
 
+#: Cue tables: where each cluster lies.
+CUES_TYPE = "array<struct<time_ns:long,track:int,place:long>>"
+
+
+def cues(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """A row a cue (time_ns, track, place of its cluster) beside the other columns; as packets for files without or with errors."""
+    prepare(media.sparkSession)
+
+    @F.udf(f"struct<cues:{CUES_TYPE},error:string>", useArrow=True)
+    def table(data):
+        try:
+            return [tuple(c) for c in parse(data).cues], None
+        except ValueError as e:
+            return [], str(e)
+
+    others = [c for c in media.columns if c != media_col]
+    return media.withColumn("_c", table(media_col)).select(*others, F.explode_outer("_c.cues").alias("_q"), F.col("_c.error").alias("error")).select(*others, "_q.*", "error")
+
+
 def read_back(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The stored bytes parsed and digested: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """The stored bytes parsed and digested: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error.
+
+    A file that is null or can't be parsed gives an error and nulls instead, but for what its bytes alone tell.  The clusters are found
+    by the cues, which must name each in order."""
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for data in batch.column(2).to_pylist():
-                found = parse(data)
-                payload = samples(data, found)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, found)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                try:
+                    found = parse(data)
+                    payload = samples(data, found)
+                    if found.cues and [place for *_, place in found.cues] != found.clusters:
+                        raise ValueError("cues and clusters differ")
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, feature(payload, found), None))
+                except ValueError as e:
+                    rows.append((None, None, None, *stored, None, str(e)))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
-    return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return read_back(encode(docs))
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of the text as stored and read back."""
+    return read_back(encode(docs)).drop("error")
