@@ -7,7 +7,8 @@ document has, for each filter, the mean and the largest of its chunks, which a
 logistic layer combines into one probability.
 
 The network is fitted on the driver on a bounded sample: SAMPLE_ROWS labelled rows
-at most, those with the smallest hashes of their id, with their whole texts.
+at most, those with the smallest hashes of their id, with their whole texts (of SAMPLE_BYTES
+at most).
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .wordbuf import pieces
 
 FILTERS, WIDTH, CHUNK = 8, 6, 256
 SAMPLE_ROWS, EPOCHS = 1500, 12
+#: The sample goes to the driver, so longer texts aren't in it.
+SAMPLE_BYTES = 1 << 16
 CUT = 0.3
 
 
@@ -125,12 +128,13 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return net.freeze()
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most rows labelled documents outside the held-out fold."""
-    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)).select(F.col("doc_id").alias("_l"), "quality")
-    chosen = chosen.orderBy(F.xxhash64("_l"), "_l", "quality").limit(rows)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_l"))
-    got = sorted((r._l, r.quality, r.t) for r in found.select("_l", "quality", "t").limit(2 * rows).collect())
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of at most rows labelled documents outside the held-out fold, those with texts over most_bytes left out.  Of
+    labels and texts that share an id, the least are taken."""
+    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0))
+    chosen = chosen.groupBy(F.col("doc_id").alias("_l")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_l"), "_l").limit(rows)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(F.octet_length("t") <= most_bytes).join(F.broadcast(chosen), F.col("doc_id") == F.col("_l"))
+    got = sorted(tuple(r) for r in found.groupBy("_l", "quality").agg(F.min("t")).collect())
     return [t.encode() for *_, t in got], np.array([float(q) for _, q, _ in got])
 
 
