@@ -7,6 +7,12 @@ come last.  Equal sets are merged first.  Of the sets that share a shingle and
 are near enough in size, neighbours are compared first, by their whole sets, and
 then all that are not yet in one component, so a large group of near copies
 costs about its size and no pair is passed over.
+
+Most sets that share one shingle are far from similar.  A sketch of two to four
+bits a shingle bounds from above what two sets can have in common, so nearly all of
+these pairs are passed over, without loss, before whole sets travel.
+
+Pairs from elsewhere (fingerprints that collide) may be added to those compared.
 """
 
 from __future__ import annotations
@@ -61,17 +67,63 @@ def similar(inter: int, a: int, b: int) -> bool:
     return 9 * inter >= 4 * (a + b)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bitmap of the shingles; a power of two of bits, so that a longer one folds into a shorter."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    marks = np.zeros(bits, np.uint8)
+    marks[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(marks).tobytes()
+
+
+def folded(rows: list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches as rows of so many 64-bit words."""
+    out = np.empty((len(rows), words), np.uint64)
+    for i, x in enumerate(rows):
+        while len(x) > words:
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
+def may_be_similar(a: np.ndarray, a_size: int, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """For a sketch and rows of others of the same width: whether the sets can have a Jaccard similarity of 0.8.  A bit set in only one
+    of two sketches stands for at least one shingle that the other set lacks."""
+    most = np.minimum(a_size - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), b_size - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+    return 9 * most >= 4 * (a_size + b_size)
+
+
+def simhash(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each text's set of shingles: a bit is 1 if set in over half their hashes."""
+    out = np.zeros(len(size), np.uint64)
+    begin = np.cumsum(size) - size
+    ones = np.zeros((len(size), 64), np.int32)
+    for lo in range(0, len(hashes), 1 << 14):
+        # a block of hashes at a time, as each takes 64 bytes here
+        hi = min(lo + (1 << 14), len(hashes))
+        first = np.searchsorted(begin, lo, side="right") - 1
+        some = first + np.flatnonzero(size[first : np.searchsorted(begin, hi, side="left")])
+        some = some[(begin + size)[some] > lo]
+        bits = np.unpackbits(hashes[lo:hi].byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+        ones[some] += np.add.reduceat(bits, np.maximum(begin[some], lo) - lo, axis=0, dtype=np.int32)
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.packbits(2 * ones[some] > size[some, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    return out
+
+
 def keyed(docs: DataFrame, text_col: str, *others: str) -> DataFrame:
-    """The columns others, and item (a hash of the text's set of shingles)."""
+    """The columns others, and item (a hash of the text's set of shingles), fp (the set's fingerprint), n (its size), sketch."""
     names = [f"c{i}" for i in range(len(others))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets_of(texts)[2])], names=[*names, "item"])
+            hashes, size, key = sets_of(texts)
+            marks = [sketch(x) for x in np.split(hashes, np.cumsum(size)[:-1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(key), pa.array(simhash(hashes, size).view(np.int64)), pa.array(size), pa.array(marks, pa.binary())], names=[*names, "item", "fp", "n", "sketch"])
 
     picked = docs.select(*[F.col(x).alias(y) for x, y in zip(others, names, strict=True)], F.col(text_col).alias("_text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{fields}, item long").toDF(*others, "item")
+    return picked.mapInArrow(run, f"{fields}, item long, fp long, n long, sketch binary").toDF(*others, "item", "fp", "n", "sketch")
 
 
 def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -154,19 +206,40 @@ def _meetings(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, "x long, y long, items array<long>, sizes array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, spark: SparkSession) -> DataFrame:
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (x, y) that their sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            a_size, b_size = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            for i, (p, q) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
+                if 5 * min(a_size[i], b_size[i]) >= 4 * max(a_size[i], b_size[i]):
+                    a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                    both = folded([a, b], min(len(a), len(b)))
+                    keep[i] = may_be_similar(both[0], a_size[i], both[1:], b_size[i : i + 1])[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["x", "y"])
+
+    left, right = sketches.toDF("x", "m", "p"), sketches.toDF("y", "n", "q")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "m", "p", "n", "q").mapInArrow(run, "x long, y long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, sketches: DataFrame, spark: SparkSession) -> DataFrame:
     """The pairs (x, y) whose sets are similar."""
+    pairs = _plausible(pairs, sketches).checkpoint()
     asked = pairs.select(F.col("x").alias("item")).unionAll(pairs.select("y")).distinct().checkpoint()
     few = asked.count() <= SENT
     shared = spark.sparkContext.broadcast(np.sort(asked.toArrow().column("item").to_numpy()) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
-        for batch, texts in pieces(batches, "_text"):
+        for _, texts in pieces(batches, "_text"):
             hashes, size, key = sets_of(texts)
-            sets = [x.tobytes() for x in np.split(hashes, np.cumsum(size)[:-1])]
             kept = np.arange(len(key)) if wanted is None else np.flatnonzero(np.isin(key, wanted))
-            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array([sets[i] for i in kept.tolist()], pa.binary())], names=["item", "set"])
+            end = np.cumsum(size)
+            # copies within the slice travel once
+            kept = kept[np.unique(key[kept], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array([hashes[end[i] - size[i] : end[i]].tobytes() for i in kept.tolist()], pa.binary())], names=["item", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,31 +258,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, spark: SparkSess
     return pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(compare, "a long, b long")
 
 
-def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, root) of every item (as of keyed) that is in one component with a smaller one."""
+def roots(docs: DataFrame, text_col: str, items: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(node, root) of every item (as of keyed) that is in one component with a smaller one.
+
+    items: (item, n, sketch), distinct; others: pairs (x, y), x < y, to compare besides those that share a shingle."""
     spark = prepare(docs.sparkSession)
     met = _meetings(_entries(docs, text_col, spark)).checkpoint()
-    pairs = met.where("x is not null").select("x", "y").distinct().checkpoint()
-    links = _verified(pairs, docs, text_col, spark).checkpoint()
+    pairs = met.where("x is not null").select("x", "y")
+    pairs = (pairs if others is None else pairs.unionAll(others.select("x", "y"))).distinct().checkpoint()
+    links = _verified(pairs, docs, text_col, items, spark).checkpoint()
     found = components(links)
     # what share a shingle but are not in one component yet is compared pair by pair
     listed = met.where("items is not null").select("items", "sizes").distinct().withColumn("id", F.xxhash64("items", "sizes"))
     member = listed.select("id", F.explode(F.arrays_zip("items", "sizes")).alias("m")).select("id", F.col("m.items").alias("item"), F.col("m.sizes").alias("n"))
     member = member.join(found, member.item == found.node, "left").select("id", "item", "n", F.coalesce("root", "item").alias("root")).checkpoint()
     open_ = member.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("id")
-    apart = member.join(open_, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item", "root"))).alias("m"))
+    apart = member.join(open_, "id", "left_semi").join(items.select("item", "sketch"), "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item", "root", "sketch"))).alias("m"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m in batch.column(0):
                 n, item, root = (np.asarray(m.values.field(k)) for k in range(3))
+                marks = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.values.field(3)]
                 upto = np.searchsorted(n, 5 * n // 4, side="right")
+                width, rows = 0, None
                 for i in range(len(n)):
-                    other = item[i + 1 : upto[i]][root[i + 1 : upto[i]] != root[i]]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, item[i])), pa.array(np.maximum(other, item[i]))], names=["x", "y"])
+                    if len(marks[i]) != width:
+                        # sizes only grow, so this happens once for each doubling
+                        width, first = len(marks[i]), i
+                        rows = folded(marks[i:], width)
+                    j = np.arange(i + 1, upto[i])
+                    j = j[root[j] != root[i]]
+                    j = j[may_be_similar(rows[i - first], n[i], rows[j - first], n[j])]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(item[j], item[i])), pa.array(np.maximum(item[j], item[i]))], names=["x", "y"])
 
     more = apart.select("m").mapInArrow(cross, "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti").checkpoint()
     if not more.limit(1).count():
         return found
-    return components(links.unionAll(_verified(more, docs, text_col, spark)).distinct())
+    return components(links.unionAll(_verified(more, docs, text_col, items, spark)).distinct())

@@ -6,15 +6,17 @@ share a variant are linked, and any two that share one are within four bits.
 A chain through the fingerprints of a variant therefore loses no component, and
 a large group of near copies costs its size, not its pairs.
 
-Variants are dealt out by a linear (parity) hash h, for which
-h(fingerprint ^ mask) = h(fingerprint) ^ h(mask): a fingerprint travels once to
-each bucket that any of its variants falls in and the bucket lists exactly its
-own variants there, instead of 2,081 rows travelling.  Equal fingerprints are
+Variants are dealt out by their lowest bits: a variant differs from its
+fingerprint there in at most two places, so a fingerprint travels once to each of
+those 1 + b + b (b - 1) / 2 buckets and the bucket lists exactly its own variants,
+instead of 2,081 rows travelling.  b grows with the number of fingerprints, so that
+a bucket lists about as many variants at every size.  Equal fingerprints are
 merged before any of this.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import resemble
 from .components import components
-from .runtime import parts, prepare
-from .wordbuf import LOWER, Words, mix, pieces
+from .runtime import in_turn, parts, prepare, salted_join
+from .wordbuf import LOWER, Words, pieces
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 
@@ -69,48 +71,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Ball:
-    """All masks of up to radius bits, by class: the value of a parity hash of so many bits."""
+    """Variants of 64-bit points within a number of flipped bits, by buckets of their lowest bits."""
 
     def __init__(self, radius: int, bits: int):
-        one = [1 << i for i in range(64)]
-        masks, layer = [0], [0]
-        for _ in range(radius):
-            layer = sorted({m | x for m in layer for x in one if x > m})
-            masks += layer
-        self.bits = bits
-        self.masks = np.array(sorted(set(masks)), np.uint64)
-        # column i of the hash matrix: what bit i adds
-        self.columns = (mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - bits)).astype(np.int64)
-        place = np.arange(256)
-        self.tables = []
-        for byte in range(8):
-            table = np.zeros(256, np.int64)
-            for i in range(8):
-                table ^= np.where(place >> i & 1, self.columns[8 * byte + i], 0)
-            self.tables.append(table)
-        of_mask = self.hash(self.masks)
-        order = np.argsort(of_mask, kind="stable")
-        self.classes, at = np.unique(of_mask[order], return_index=True)
-        self.by_class = dict(zip(self.classes.tolist(), np.split(self.masks[order], at[1:]), strict=True))
-
-    def hash(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), np.int64)
-        for byte, table in enumerate(self.tables):
-            out ^= table[((x >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64)]
-        return out
-
-    def variants(self, bucket: int, points: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(variants, their points' places) in this bucket, one class of points at a time."""
-        order = np.argsort(hashes, kind="stable")
-        values, at = np.unique(hashes[order], return_index=True)
-        for value, places in zip(values.tolist(), np.split(order, at[1:]), strict=True):
-            masks = self.by_class.get(value ^ bucket)
-            if masks is not None:
-                yield (points[places][:, None] ^ masks[None, :]).ravel(), np.repeat(places, len(masks))
+        self.radius, self.bits, self.low = radius, bits, np.uint64((1 << bits) - 1)
+        self._masks: dict[tuple[int, int], np.ndarray] = {}
+        #: what to flip among the lowest bits for each bucket a point travels to
+        self.steps = self._weights(range(bits), radius)
+
+    @staticmethod
+    def _weights(places: range, most: int) -> np.ndarray:
+        masks = [0]
+        for k in range(1, most + 1):
+            masks += [sum(1 << i for i in c) for c in itertools.combinations(places, k)]
+        return np.array(masks, np.uint64)
+
+    def masks(self, bits: int, left: int) -> np.ndarray:
+        """Masks of at most left flips above the lowest bits."""
+        if (bits, left) not in self._masks:
+            self._masks[bits, left] = self._weights(range(bits, 64), left)
+        return self._masks[bits, left]
+
+    def buckets(self, points: np.ndarray) -> np.ndarray:
+        """A row a point: the buckets its variants fall in."""
+        return ((points & self.low)[:, None] ^ self.steps[None, :]).astype(np.int64)
+
+    def variants(self, bucket: int, points: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(variants, their points' places) in this bucket, about most at once.  A larger bucket is halved by the next bit of the
+        variants, as often as it takes, so every variant is listed once at any size."""
+        b = np.uint64(bucket)
+        used = _popcount((points ^ b) & self.low)
+        at = np.flatnonzero(used <= self.radius)
+        stack = [(self.bits, (points[at] & ~self.low) | b, at, self.radius - used[at])]
+        while stack:
+            bits, own, at, left = stack.pop()
+            count = np.bincount(left, minlength=self.radius + 1)
+            total = sum(int(n) * len(self.masks(bits, k)) for k, n in enumerate(count) if n)
+            if total <= most or bits >= 60:
+                parts = [(np.flatnonzero(left == k), self.masks(bits, k)) for k, n in enumerate(count) if n]
+                if parts:
+                    yield np.concatenate([(own[p][:, None] ^ m[None, :]).ravel() for p, m in parts]), np.concatenate([np.repeat(at[p], len(m)) for p, m in parts])
+                continue
+            bit = np.uint64(1 << bits)
+            for side in (np.uint64(0), bit):
+                off = (own & bit) != side
+                keep = np.flatnonzero(left - off >= 0)
+                stack.append((bits + 1, (own[keep] & ~bit) | side, at[keep], (left - off)[keep]))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1)
+    return np.bitwise_count(x).astype(np.int64)
 
 
 class _Forest:
@@ -134,38 +144,51 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def links(distinct: DataFrame, spark: SparkSession, count: int, radius: int = RADIUS, bucket_variants: int = 1 << 32) -> DataFrame:
-    """Links (a, b), a < b, that join all fingerprints (column fp) within radius bits of each other.
+#: Variants that a bucket lists; buckets are made so many.
+MOST = 1 << 22
+#: Variants that are listed at once; a bucket with more is halved until it has so few.
+AT_ONCE = 1 << 20
+
 
-    count: distinct fingerprints; the number of buckets is 256, and doubles as long
-    as a bucket would list more than bucket_variants variants."""
-    bits = 8
-    while count * 2081 > bucket_variants << bits:
+def bits_for(count: int, most: int = MOST) -> int:
+    """The bits a bucket is named by, for so many fingerprints."""
+    bits = 4
+    while count * 2081 > most << bits and bits < 24:
         bits += 1
-    ball = Ball(radius // 2, bits)
+    return bits
+
+
+def links(distinct: DataFrame, spark: SparkSession, count: int, radius: int = RADIUS, chained: bool = True) -> DataFrame:
+    """Links (a, b), a < b, that join all fingerprints (column fp) within radius bits of each other.
+
+    count: distinct fingerprints, of which the number of buckets depends.  Chained, a task names a link's ends by its smallest
+    member, which may be further away; else all links are of fingerprints that collide."""
+    ball = Ball(radius // 2, bits_for(count))
+    step = max(1 << 10, (1 << 21) // len(ball.steps))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy().view(np.uint64)
-            for lo in range(0, len(points), 1 << 13):
-                some = points[lo : lo + (1 << 13)]
-                bucket = (ball.hash(some)[:, None] ^ ball.classes[None, :]).ravel()
+            for lo in range(0, len(points), step):
+                some = points[lo : lo + step]
+                bucket = ball.buckets(some).ravel()
                 order = np.argsort(bucket, kind="stable")
                 values, at = np.unique(bucket[order], return_index=True)
-                own = np.repeat(some, len(ball.classes))[order]
-                for k in range(0, len(values), 256):
-                    blobs = [x.tobytes() for x in np.split(own, at[1:])[k : k + 256]]
-                    yield pa.RecordBatch.from_arrays([pa.array(values[k : k + 256]), pa.array(blobs, pa.binary())], names=["bucket", "points"])
+                own = some[order // len(ball.steps)]
+                ends = np.r_[at, len(own)]
+                for k in range(0, len(values), 1024):
+                    part = ends[k : k + 1025]
+                    blobs = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer(((part - part[0]) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(own[part[0] : part[-1]]))])
+                    yield pa.RecordBatch.from_arrays([pa.array(values[k : k + len(part) - 1]), blobs], names=["bucket", "points"])
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(blob)
         forest = _Forest()
-        for bucket in list(held):
-            points = np.frombuffer(b"".join(held.pop(bucket)), np.uint64)
+        for bucket, blobs in in_turn(batches):
+            points = np.frombuffer(b"".join(blobs), np.uint64)
             for a, b in bucket_links(ball, bucket, points, radius):
+                if not chained:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    continue
                 for x, y in zip(a.tolist(), b.tolist(), strict=True):
                     forest.join(x, y)
         ends = sorted(x for x in forest.up if forest.root(x) != x)
@@ -173,28 +196,13 @@ def links(distinct: DataFrame, spark: SparkSession, count: int, radius: int = RA
             some = ends[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array([forest.root(x) for x in some], pa.int64()), pa.array(some, pa.int64())], names=["a", "b"])
 
-    dealt = distinct.select("fp").mapInArrow(emit, "bucket long, points binary").repartition(parts(spark), "bucket")
+    dealt = distinct.select("fp").mapInArrow(emit, "bucket long, points binary").repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(collide, "a long, b long").distinct()
 
 
-def bucket_links(ball: Ball, bucket: int, points: np.ndarray, radius: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified links (a, b signed, a < b) of points that share a variant in this bucket.
-
-    A bucket with many variants is worked off in sub-buckets by more bits of the
-    variant itself, so memory stays bounded by the points and most variants."""
-    hashes = ball.hash(points)
-    rounds = max(1, -(-len(points) * len(ball.masks) // ((1 << ball.bits) * most)))
-    for part in range(rounds):
-        variants, places = [], []
-        for v, at in ball.variants(bucket, points, hashes):
-            if rounds > 1:
-                keep = mix(v) % np.uint64(rounds) == np.uint64(part)
-                v, at = v[keep], at[keep]
-            variants.append(v)
-            places.append(at)
-        if not variants:
-            continue
-        v, at = np.concatenate(variants), np.concatenate(places)
+def bucket_links(ball: Ball, bucket: int, points: np.ndarray, radius: int, most: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified links (a, b signed, a < b) of points that share a variant in this bucket."""
+    for v, at in ball.variants(bucket, points, most):
         order = np.argsort(v)
         same = np.flatnonzero(v[order[1:]] == v[order[:-1]])
         x, y = points[at[order[same]]], points[at[order[same + 1]]]
@@ -214,23 +222,39 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     every = fingerprints(docs, id_col, text_col).checkpoint()
     distinct = every.groupBy("fp").agg(F.min("_id").alias("least")).checkpoint()
     roots = components(links(distinct, spark, distinct.count(), radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")).checkpoint()
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return every.join(by_fp, every.fp == by_fp._fp).select(F.col("_id").alias(id_col), "fp", "component_id")
+    by_fp = salted_join(named, least, "root", by=F.col("fp")).select(F.col("fp").alias("_fp"), "component_id")
+    return salted_join(every.withColumnRenamed("fp", "_fp"), by_fp, "_fp", by=F.monotonically_increasing_id()).select(F.col("_id").alias(id_col), F.col("_fp").alias("fp"), "component_id")
+
+
+def collisions(items: DataFrame, spark: SparkSession, radius: int = RADIUS) -> DataFrame:
+    """Pairs (x, y), x < y, of items (columns item, fp; distinct) that chain all whose fingerprints are equal or within radius bits."""
+    points = items.groupBy("fp").agg(F.min("item").alias("first"), F.count(F.lit(1)).alias("n")).checkpoint()
+    equal = salted_join(items.select("item", "fp"), points.where("n > 1").select("fp", "first"), "fp", by=F.col("item")).where("item != first").select(F.col("first").alias("p"), F.col("item").alias("q"))
+    near = links(points, spark, points.count(), radius, chained=False)
+    named = points.select("fp", "first")
+    near = near.join(named.toDF("a", "p"), "a").join(named.toDF("b", "q"), "b").select("p", "q")
+    return equal.unionAll(near).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row of each group left: of texts whose five-word shingles have a Jaccard similarity of 0.8, or that
-    are joined by others that have.  The row of the smallest id stays, null ids last, equal ones by a hash of the row."""
-    prepare(docs.sparkSession)
+    are joined by others that have.  The row of the smallest id stays, null ids last, equal ones by a hash of the row.
+
+    Fingerprints of the sets of shingles that collide under ball hashing are candidates; each is verified on the whole sets.  Four of 64 bits
+    is less than such sets may differ in, so sets that share one of their rarest shingles are candidates too (resemble.py), and none is missed.
+    Texts without words are one group.  Rows are told apart by id and a hash of all columns, so rows of one id but other texts are
+    judged each for itself, and so are rows without id.  An empty table gives no rows."""
+    spark = prepare(docs.sparkSession)
     own = docs.withColumn("_h", F.xxhash64(*docs.columns))
     rows = resemble.keyed(own, text_col, id_col, "_h").checkpoint()
-    found = resemble.roots(docs, text_col)
+    items = rows.groupBy("item").agg(*[F.min(c).alias(c) for c in ("fp", "n", "sketch")]).checkpoint()
+    found = resemble.roots(docs, text_col, items.select("item", "n", "sketch"), collisions(items.select("item", "fp"), spark))
     place = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_h").alias("h"))
-    placed = rows.join(found, rows.item == found.node, "left").select(F.coalesce("root", "item").alias("_root"), place.alias("_place"))
+    placed = salted_join(rows.select("item", place.alias("_place")), found.withColumnRenamed("node", "item"), "item", by=F.col("_place.h"), how="left").select(F.coalesce("root", "item").alias("_root"), "_place").checkpoint()
     first = placed.groupBy("_root").agg(F.min("_place").alias("_first"))
-    gone = placed.join(first, "_root").where(~F.col("_place").eqNullSafe(F.col("_first"))).select(F.col("_place.id").alias("_gone"), F.col("_place.h").alias("_gone_h")).distinct()
+    gone = salted_join(placed, first, "_root", by=F.col("_place.h")).where(~F.col("_place").eqNullSafe(F.col("_first"))).select(F.col("_place.id").alias("_gone"), F.col("_place.h").alias("_gone_h")).distinct()
     left = own.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti")
     if rows.groupBy(id_col, "_h").count().where("count > 1").limit(1).count():
         left = left.dropDuplicates([id_col, "_h"])

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -98,16 +99,17 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about limit bytes of text at most (a longer text comes alone), and their texts."""
     for batch in batches:
-        texts = as_bytes(batch.column(batch.schema.get_field_index(name)))
+        column = batch.column(batch.schema.get_field_index(name))
+        sizes = [0] * len(column) if pa.types.is_null(column.type) else pc.fill_null(pc.binary_length(column), 0).to_pylist()
         begin, held = 0, 0
-        for i, text in enumerate(texts):
-            size = len(text or b"") + 64
+        for i, size in enumerate(sizes):
+            size += 64
             if held and held + size > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
+                yield batch.slice(begin, i - begin), as_bytes(column.slice(begin, i - begin))
                 begin, held = i, 0
             held += size
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        if begin < len(sizes):
+            yield batch.slice(begin), as_bytes(column.slice(begin))
