@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .runtime import prepare
 
@@ -112,7 +113,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     turns that repeat; an empty table gives no rows."""
     prepare(conversations.sparkSession)
     field = conversations.schema["conv_id"]
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[field.dataType.simpleString()]
+    kind = to_arrow_type(field.dataType)
     turns = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return turns.mapInArrow(lambda batches: _expand(batches, kind), f"conv_id {field.dataType.simpleString()}, example long, formatted string, mask_start long, mask_end long")
 
@@ -155,7 +156,7 @@ def digests(made: DataFrame) -> DataFrame:
     """What the examples of each conversation say: its turns are parsed from the longest, its loss from each mask.
     formatted_chars: of all its examples."""
     field = made.schema["conv_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[field]
+    kind = to_arrow_type(made.schema["conv_id"].dataType)
     return made.mapInArrow(lambda batches: _digest(batches, kind), f"conv_id {field}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import prepare
+from .runtime import prepare, salted_join
 from .wordbuf import pieces
 
 #: Different labelled texts for each language that the models are fitted on, whole.
@@ -37,7 +37,7 @@ LEAST = 0.3
 #: Where a language is compared with none: what a byte pair counts before any is seen (little, so that pairs of other scripts stay unlikely), and the
 #: share of pairs in a text of the language that are as in none.
 UNSEEN, FOREIGN = 0.001, 0.02
-#: Hosts whose priors may be broadcast; more are joined by a shuffle.
+#: Hosts whose priors may be broadcast; more are joined by a shuffle, in which the rows of a frequent host are dealt over many tasks.
 BROADCAST_HOSTS = 50_000
 #: Suffixes of countries with one of the languages (fixed values).
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
@@ -182,11 +182,12 @@ def fuse(scored: DataFrame, models: Models, markup: Column | None = None, suffix
     Without votes in all the table, or for a null host, the prior is that of all rows."""
     names, n = models.names, len(models.names)
     priors, base = host_priors(scored if votes is None else votes, n)
-    if priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        priors = F.broadcast(priors)
     default = F.array(*[F.lit(float(np.log(b))) for b in base])
-    priors = priors.withColumnRenamed("_host", "_h")
-    out = scored.join(priors, scored._host == priors._h, "left").drop("_h")
+    if priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        priors = F.broadcast(priors.withColumnRenamed("_host", "_h"))
+        out = scored.join(priors, scored._host == priors._h, "left").drop("_h")
+    else:
+        out = salted_join(scored, priors, "_host", by=F.monotonically_increasing_id(), how="left")
     parts = [F.col("_ll"), F.coalesce("_prior", default)]
     parts += [_declared(x, names, sure) for x, sure in ((markup, DECLARED), (suffix, SUFFIXED)) if x is not None]
     out = out.withColumn("_sum", reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)).drop("_prior")

@@ -198,7 +198,8 @@ def attempts(found: DataFrame, key: str = KEY) -> DataFrame:
     spark = found.sparkSession
     made = lambda df, k: df.select("kind", "norm", fresh_norm(F.col("kind"), F.col("norm"), F.lit(k), key).alias("s"))
     # many small tasks: the table is small, but each row costs far more than its bytes say
-    now = made(found.select("kind", "norm").repartition(4 * parts(spark), "kind", "norm"), 0).checkpoint()
+    found = found.select("kind", "norm").repartition(4 * parts(spark), "kind", "norm").checkpoint()
+    now = made(found, 0).checkpoint()
     taken = found.select("kind", F.col("norm").alias("s"))
     known = now.select("kind", "s")
     left = now.join(taken, ["kind", "s"], "left_semi").select("kind", "norm").checkpoint()

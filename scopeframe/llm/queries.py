@@ -51,13 +51,23 @@ def language_fusion_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5's files hold, read back: the columns that SQL can tell."""
+    return matroska.op5(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's base kinds, counted."""
+    return secrets.op8(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_prefix_target_chat, op2_simhash_ball, op3_quality_cnn, op4_superkmer_dedup, op5_matroska, op6_surrogates, op7_sentencepiece, op8_entropy_secrets, op9_language_fusion, op10_minhash_containment, language_fusion_pages)
+    for f in (op1_prefix_target_chat, op2_simhash_ball, op3_quality_cnn, op4_superkmer_dedup, op5_matroska, op6_surrogates, op7_sentencepiece, op8_entropy_secrets, op9_language_fusion, op10_minhash_containment, language_fusion_pages, media_payloads, secret_counts)
 }
 
 OP4_SQL = r"""
@@ -80,4 +90,15 @@ pair as (select r, doc_id, item_id, count(*) as n_shared from ds join bs using (
 select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from pair join size using (item_id) where n_shared >= 0.8 * n_item - 1e-9
 """
 
-SQL: dict[str, str] = {"op1_prefix_target_chat": chat.OP1_SQL, "op4_superkmer_dedup": OP4_SQL, "op10_minhash_containment": OP10_SQL}
+PAYLOAD_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+p as (select doc_id, octet_length(b) as n, greatest(64, (octet_length(b) + 63) // 64 * 64) as m, b from d)
+select doc_id, n as n_bytes, m as payload_bytes, sha256(b || repeat('\\x00'::blob, m - n)) as payload_sha256 from p
+"""
+
+COUNT_SQL = r"""
+select doc_id, len([x for x in regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) if length(x) >= 6]) as n_assign,
+  len([x for x in regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') if length(x) >= 20]) as n_access, len([x for x in regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') if length(x) >= 24]) as n_hex from documents
+"""
+
+SQL: dict[str, str] = {"media_payloads": PAYLOAD_SQL, "secret_counts": COUNT_SQL, "op1_prefix_target_chat": chat.OP1_SQL, "op4_superkmer_dedup": OP4_SQL, "op10_minhash_containment": OP10_SQL}
