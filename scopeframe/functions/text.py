@@ -28,10 +28,14 @@ def shebang(text: Column) -> Column:
     return F.regexp_extract(text, r"^#!([^\r\n]*)", 1)
 
 
+def program(word: Column) -> Column:
+    """A program's lower-case base name without .exe."""
+    return F.regexp_replace(F.lower(F.element_at(F.split(word, r"[/\\]"), -1)), r"\.exe$", "")
+
+
 def interpreter(line: Column) -> Column:
     """The program that an interpreter line runs: its lower-case base name without .exe; env's own options and settings are passed over."""
     words = F.filter(F.split(F.trim(line), r"\s+"), lambda w: w != "")
-    name = lambda w: F.regexp_replace(F.lower(F.element_at(F.split(w, r"[/\\]"), -1)), r"\.exe$", "")
     step = lambda acc, w: F.struct(
         F.when(acc["found"] != "", acc["found"]).when(acc["skip"], "").when(acc["rest"] | ~w.rlike(r"^-|^[A-Za-z_]\w*="), w).otherwise("").alias("found"),
         ((acc["found"] == "") & ~acc["skip"] & w.isin("-u", "--unset", "-C", "--chdir")).alias("skip"),
@@ -39,5 +43,5 @@ def interpreter(line: Column) -> Column:
     )
     start = F.struct(F.lit("").alias("found"), F.lit(False).alias("skip"), F.lit(False).alias("rest"))
     after_env = F.aggregate(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), start, step, lambda acc: acc["found"])
-    program = F.when(F.size(words) == 0, "").when(name(words[0]) == "env", after_env).otherwise(words[0])
-    return F.when(program != "", name(program)).otherwise("")
+    run = F.when(F.size(words) == 0, "").when(program(words[0]) == "env", after_env).otherwise(words[0])
+    return F.when(run != "", program(run)).otherwise("")

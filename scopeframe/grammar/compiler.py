@@ -77,6 +77,23 @@ class Compiled:
     rules: list[tuple[re.Pattern | Runs, str, Compiled | None]] = field(default_factory=list)
     begins: int = 0
     after_dot: bool = False
+    #: whether the end sees what is before it, so that it must be matched on the rest of the text alone
+    end_looks_back: bool = False
+    #: the rules' search functions
+    searches: list = field(default_factory=list)
+
+    def end_at(self, text: str, at: int) -> re.Match | None:
+        return self.end.match(text[at:]) if self.end_looks_back else self.end.match(text, at)
+
+    def keyword_words(self, text: str) -> list[str]:
+        """All words of a text; whole matches."""
+        if self.keyword_pattern.groups:
+            return [m[0] for m in self.keyword_pattern.finditer(text)]
+        return self.keyword_pattern.findall(text)
+
+
+#: Parts of a pattern that depend on what is before the place it is matched at.
+LOOKS_BACK = re.compile(r"\\\\|\\\[|\[\^?\]?(?:\\.|[^\]\\])*\]|(\\[bBA]|\(\?<[=!]|\^)", re.DOTALL)
 
 
 class Compiler:
@@ -172,6 +189,7 @@ class Compiler:
                 end = ALWAYS
             if end is not None:
                 out.end = self.regex(end)
+                out.end_looks_back = any(m[1] for m in LOOKS_BACK.finditer(end))
             terminator = end
             if mode.ends_with_parent and parent.terminator is not None:
                 terminator = f"(?:{end})|{parent.terminator}" if end is not None else parent.terminator
@@ -187,6 +205,7 @@ class Compiler:
         if mode.illegal:
             listed = [mode.illegal] if isinstance(mode.illegal, str) else mode.illegal
             out.rules.append((self.regex(either(*listed)), "illegal", None))
+        out.searches = [pattern.search for pattern, *_ in out.rules]
         if mode.starts:
             out.starts = self.one(mode.starts, parent)
         return out

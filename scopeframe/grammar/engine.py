@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import bisect
 import functools
+import pickle
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from .compiler import Compiled, Compiler
-from .model import Language, UnknownLanguage
+from .model import GrammarError, Hints, Language, UnknownLanguage
 
 MOST_HITS = 7
 FUSE = 100_000
@@ -27,6 +29,10 @@ class Loop(Exception):
     pass
 
 
+class Cancelled(Exception):
+    """The caller's probe asked to stop; there is no result."""
+
+
 @dataclass
 class Token:
     start: int
@@ -94,43 +100,91 @@ class Grammar:
 
 
 class Highlighter:
-    """Compiled grammars by name or alias, built when first asked for."""
+    """Compiled grammars by name or alias, built when first asked for.
+
+    identity names the registry and revision its contents; both are part of the keys of stored results."""
 
-    def __init__(self, factories: dict[str, Callable[[], Language]]):
+    def __init__(self, factories: dict[str, Callable[[], Language]], identity: str | None = None):
+        self.identity = identity or uuid.uuid4().hex
         self.revision = 0
-        self.factories: dict[str, Callable[[], Language]] = {}
         self.names: dict[str, str] = {}
         self.languages: dict[str, Language] = {}
-        self.grammars: dict[str, Grammar] = {}
+        self.hints: dict[str, Hints] = {}
+        #: the revision at which each language came
+        self.generations: dict[str, int] = {}
+        self.grammars: dict[str, Grammar | GrammarError] = {}
+        self.building: list[str] = []
         for name, factory in factories.items():
             self.register(name, factory)
+        self.bundled = dict(self.languages) if identity else {}
 
-    def register(self, name: str, factory: Callable[[], Language]) -> None:
-        """Adds or replaces a language.  A replaced one gives up the aliases it still owns; later owners displace earlier ones."""
-        language = factory()
+    def register(self, name: str, factory: Callable[[], Language], hints: Hints | None = None) -> None:
+        """Adds or replaces a language and the names its files go by.  A replaced one gives up the aliases it still owns; later owners displace earlier ones."""
+        language = self.built(name, factory)
         for alias in [a for a, owner in self.names.items() if owner == name]:
             del self.names[alias]
-        self.factories[name], self.languages[name] = factory, language
+        self.languages[name], self.hints[name] = language, hints or Hints()
         self.grammars.pop(name, None)
         for alias in language.aliases:
             if alias.lower() not in self.languages:
                 self.names[alias.lower()] = name
         self.names[name.lower()] = name
         self.revision += 1
+        self.generations[name] = self.revision
+
+    def built(self, name: str, factory: Callable[[], Language]) -> Language:
+        self.building.append(name)
+        try:
+            return factory()
+        finally:
+            self.building.pop()
 
     def resolve(self, name: str) -> str | None:
         return self.names.get(name.lower())
 
-    def grammar(self, name: str) -> Grammar:
+    def grammar_name(self, name: str) -> str:
         canonical = self.resolve(name)
         if canonical is None:
             raise UnknownLanguage(name)
-        if canonical not in self.grammars:
-            self.grammars[canonical] = Grammar(self.languages[canonical])
-        return self.grammars[canonical]
+        return canonical
 
-    def highlight(self, text: str, name: str, ignore_illegals: bool = True, state: tuple | None = None, utf16: bool = True, above: tuple = ()) -> Result:
-        run = Run(self, self.grammar(name), text, ignore_illegals, state, above)
+    def grammar(self, name: str) -> Grammar:
+        """The compiled grammar.  One that contradicts itself fails each time it is asked for, until it is replaced."""
+        if self.building:
+            raise GrammarError(f"{self.building[-1]}: a factory can't compile languages")
+        canonical = self.grammar_name(name)
+        known = self.grammars.get(canonical)
+        if known is None:
+            try:
+                known = Grammar(self.languages[canonical])
+            except GrammarError as e:
+                known = e
+            self.grammars[canonical] = known
+        if isinstance(known, GrammarError):
+            raise known
+        return known
+
+    def owner(self, canonical: str) -> tuple:
+        """What a state to go on from belongs to."""
+        return self.identity, canonical, self.generations[canonical]
+
+    @property
+    def changed(self) -> bool:
+        """Whether it is other than what every process has by itself."""
+        return not self.bundled or len(self.languages) != len(self.bundled) or any(self.bundled.get(n) is not x for n, x in self.languages.items())
+
+    def packed(self) -> bytes | None:
+        """What another process needs to make the same registry; nothing for the bundled one as it is."""
+        if not self.changed:
+            return None
+        from pyspark import cloudpickle
+
+        own = {n: x for n, x in self.languages.items() if self.bundled.get(n) is not x}
+        return cloudpickle.dumps((self.identity, self.revision, [n for n in self.languages if n not in own], own, self.names, self.generations))
+
+    def highlight(self, text: str, name: str, ignore_illegals: bool = True, state: tuple | None = None, utf16: bool = True, above: tuple = (), cancelled: Callable[[], bool] | None = None) -> Result:
+        """state: that of a result before, to go on from; one of another registry, language or generation is as none."""
+        run = Run(self, self.grammar(name), text, ignore_illegals, state, above, cancelled)
         canonical = run.grammar.language.name
         try:
             result = run.go()
@@ -141,14 +195,14 @@ class Highlighter:
         result.source_length = len(text)
         return in_utf16(result, text) if utf16 else result
 
-    def detect(self, text: str, among: list[str] | None = None, utf16: bool = True, above: tuple = ()) -> Result:
+    def detect(self, text: str, among: list[str] | None = None, utf16: bool = True, above: tuple = (), cancelled: Callable[[], bool] | None = None) -> Result:
         """The best of the plain reading (relevance 0) and the languages that take part and find nothing illegal."""
         tried = [Result(None, source_length=len(text))]
         for name in sorted(self.languages) if among is None else among:
             canonical = self.resolve(name)
             if canonical is None or not self.languages[canonical].detectable:
                 continue
-            result = self.highlight(text, canonical, ignore_illegals=False, utf16=False, above=above)
+            result = self.highlight(text, canonical, ignore_illegals=False, utf16=False, above=above, cancelled=cancelled)
             if not result.illegal:
                 tried.append(result)
         ranked = self.rank([(r.language, r.relevance) for r in tried])
@@ -186,9 +240,8 @@ def in_utf16(result: Result, text: str) -> Result:
 
 
 class Run:
-    def __init__(self, owner: Highlighter, grammar: Grammar, text: str, ignore_illegals: bool, state: tuple | None, above: tuple):
-        self.owner, self.grammar, self.text, self.ignore = owner, grammar, text, ignore_illegals
-        self.above = (*above, (grammar.language.name, len(text)))
+    def __init__(self, owner: Highlighter, grammar: Grammar, text: str, ignore_illegals: bool, state: tuple | None, above: tuple, cancelled: Callable[[], bool] | None = None):
+        self.owner, self.grammar, self.text, self.ignore, self.cancelled = owner, grammar, text, ignore_illegals, cancelled
         self.aliases = grammar.language.scope_aliases
         self.ci = grammar.language.case_insensitive
         self.out = Emitter()
@@ -196,15 +249,20 @@ class Run:
         self.top = Frame(grammar.modes[0], None)
         self.hits: dict[str, int] = {}
         self.nested: dict[str, tuple] = {}
-        if state and state[0] == grammar.language.name:
+        self.belongs = owner.owner(grammar.language.name)
+        if state and state[0] == self.belongs:
             for k, (ident, data) in enumerate(state[1]):
                 self.top = Frame(grammar.modes[ident], self.top if k else None, dict(data))
                 if k and self.top.mode.scope:
                     self.out.scopes.append(self.name(self.top.mode.scope))
             self.hits, self.nested = dict(state[2]), dict(state[3])
+        self.above = (*above, (grammar.language.name, len(text), self.top.mode.ident))
+        self.said: dict = {}
         self.begin = 0  # of what is buffered
         self.end = 0
-        self.cache: dict[tuple[int, int], object] = {}
+        #: by mode: next starts of its rules (past the text's end without), their matches, and from where these were searched
+        self.slots: dict[int, tuple[list[int], list, list[int]]] = {}
+        self.lowest: dict[int, int] = {}
 
     def name(self, scope: str) -> str:
         return self.aliases.get(scope, scope)
@@ -214,6 +272,8 @@ class Run:
         index, same, cursor, last, rounds = 0, False, 0, None, 0
         while True:
             rounds += 1
+            if self.cancelled and rounds % 64 == 1 and self.cancelled():
+                raise Cancelled
             if not same:
                 cursor = 0
             found = self.scan(cursor, index)
@@ -266,28 +326,54 @@ class Run:
                 break
         self.end = n
         self.flush()
-        state = (self.grammar.language.name, self.top.path(), tuple(sorted(self.hits.items())), tuple(sorted(self.nested.items())))
+        # what an embedded language left open goes on only where its host is open
+        open_ = {mode.mode.sub_language for mode in self.stack() if isinstance(mode.mode.sub_language, str)}
+        nested = {name: state for name, state in self.nested.items() if any(self.owner.resolve(x) == name for x in open_)}
+        state = (self.belongs, self.top.path(), tuple(sorted(self.hits.items())), tuple(sorted(nested.items())))
         return Result(self.grammar.language.name, self.relevance, False, self.out.tokens, n, state)
 
+    def stack(self) -> list[Compiled]:
+        out, frame = [], self.top
+        while frame is not None:
+            out.append(frame.mode)
+            frame = frame.parent
+        return out
+
     def scan(self, first: int, at: int):
-        """The earliest match at or after at of the rules from first on; of equals the first rule's."""
-        mode, best, which, start = self.top.mode, None, -1, len(self.text) + 1
-        cache, ident = self.cache, self.top.mode.ident
-        for k in range(first, len(mode.rules)):
-            known = cache.get((ident, k), 0)
-            if known == 0 or (known is not None and (known[0] > at or known[1].start() < at)):
-                m = mode.rules[k][0].search(self.text, at) if at <= len(self.text) else None
-                known = cache[ident, k] = (at, m) if m else None
-            if known is not None and known[1].start() < start:
-                best, which, start = known[1], k, known[1].start()
-                if start == at:
-                    break
-        return (best, which) if best is not None else None
+        """The earliest match at or after at of the rules from first on; of equals the first rule's.
+
+        A rule is searched again only when its last match lies behind, so rules that match far ahead cost nothing."""
+        mode, text, none = self.top.mode, self.text, len(self.text) + 1
+        if at >= none:
+            return None
+        slot = self.slots.get(mode.ident)
+        if slot is None:
+            n = len(mode.rules)
+            slot = self.slots[mode.ident] = [-1] * n, [None] * n, [0] * n
+        starts, found, since = slot
+        if at < self.lowest.get(mode.ident, 0):
+            # the scan went back: what was searched from further on may have passed over a match
+            for k, s in enumerate(since):
+                if s > at:
+                    starts[k] = -1
+        self.lowest[mode.ident] = at
+        best = none
+        for k, start in enumerate(starts if not first else starts[first:], first):
+            if start < at:
+                m = mode.searches[k](text, at)
+                start = starts[k] = none if m is None else m.start()
+                found[k], since[k] = m, at
+            if start == at:
+                return found[k], k
+            if start < best:
+                best, which = start, k
+        return None if best == none else (found[which], which)
 
     def vetoed(self, mode: Compiled, m) -> bool:
         if mode.after_dot and m.start() and self.text[m.start() - 1] == ".":
             return True
-        return bool(mode.mode.on_begin and mode.mode.on_begin(m, {}))
+        self.said = {}
+        return bool(mode.mode.on_begin and mode.mode.on_begin(m, self.said))
 
     def begun(self, mode: Compiled, m) -> int:
         raw = mode.mode
@@ -310,7 +396,8 @@ class Run:
             self.begin = self.end
         elif mode.begin_groups:
             self.groups(mode.begin_groups, m, mode)
-        self.top = Frame(mode, self.top)
+        # what the beginning's callback noted is there for the end's
+        self.top, self.said = Frame(mode, self.top, self.said), {}
         if mode.mode.end_same_as_begin:
             self.top.data["same"] = m[1] or "" if m.re.groups else ""
 
@@ -326,9 +413,9 @@ class Run:
             else:
                 self.words(mode)
 
-    def closing(self, frame: Frame, rest: str) -> Frame | None:
+    def closing(self, frame: Frame, at: int) -> Frame | None:
         mode, found = frame.mode, None
-        if mode.end is not None and (found := mode.end.match(rest)):
+        if mode.end is not None and (found := mode.end_at(self.text, at)):
             if mode.mode.end_same_as_begin and (found[1] if found.re.groups else None) != frame.data.get("same"):
                 found = None
             elif mode.mode.on_end and mode.mode.on_end(found, frame.data):
@@ -338,11 +425,11 @@ class Run:
                 frame = frame.parent
             return frame
         if mode.mode.ends_with_parent and frame.parent is not None:
-            return self.closing(frame.parent, rest)
+            return self.closing(frame.parent, at)
         return None
 
     def ended(self, m) -> int | None:
-        target = self.closing(self.top, self.text[m.start() :])
+        target = self.closing(self.top, m.start())
         if target is None or target.parent is None:
             return None
         origin, raw = self.top.mode, self.top.mode.mode
@@ -352,7 +439,7 @@ class Run:
             self.begin = self.end = m.end()
         elif origin.end_groups:
             self.flush()
-            own = origin.end.match(self.text[m.start() :]) or m
+            own = origin.end_at(self.text, m.start()) or m
             self.groups(origin.end_groups, own, origin)
         elif raw.skip:
             self.end = m.end()
@@ -379,10 +466,18 @@ class Run:
         else:
             self.words(self.top.mode)
 
+    def absent(self, mode: Compiled, part: str) -> bool:
+        """Whether no keyword is in this part."""
+        return mode.keywords.keys().isdisjoint(mode.keyword_words(part.lower() if self.ci else part))
+
     def words(self, mode: Compiled) -> None:
         """Emits the buffer; keywords in it as tokens."""
         if mode.keywords and self.end > self.begin:
             part, at = self.text[self.begin : self.end], 0
+            if self.absent(mode, part):
+                self.out.text(len(part))
+                self.begin = self.end
+                return
             for m in mode.keyword_pattern.finditer(part):
                 word = m[0].lower() if self.ci else m[0]
                 known = mode.keywords.get(word)
@@ -411,13 +506,15 @@ class Run:
         if len(self.above) < MOST_DEPTH:
             if isinstance(wanted, str):
                 canonical = self.owner.resolve(wanted)
-                # the same language must get a smaller text
-                if canonical and not any(name == canonical and size <= len(part) for name, size in self.above):
-                    result = self.owner.highlight(part, canonical, True, self.nested.get(canonical), utf16=False, above=self.above)
+                state = self.nested.get(canonical)
+                # the same language must get a smaller text, or one of equal size in another mode
+                mode = state[1][-1][0] if state else 0
+                if canonical and not any(name == canonical and (size < len(part) or (size == len(part) and ident == mode)) for name, size, ident in self.above):
+                    result = self.owner.highlight(part, canonical, True, state, utf16=False, above=self.above, cancelled=self.cancelled)
                     if result.state:
                         self.nested[canonical] = result.state
-            elif not any(size <= len(part) for _, size in self.above):
-                result = self.owner.detect(part, wanted or None, utf16=False, above=self.above)
+            elif not any(size <= len(part) for _, size, _ in self.above):
+                result = self.owner.detect(part, wanted or None, utf16=False, above=self.above, cancelled=self.cancelled)
         if result is None:
             self.out.text(len(part))
             return
@@ -428,7 +525,32 @@ class Run:
 
 @functools.cache
 def shared() -> Highlighter:
-    """The bundled languages, compiled once in each process."""
+    """The bundled languages, compiled once in each process.  What is registered here later is carried to tasks by the operators."""
+    from .languages import FACTORIES, HINTS
+
+    out = Highlighter(FACTORIES, "bundled")
+    out.hints |= HINTS
+    return out
+
+
+@functools.lru_cache(maxsize=8)
+def unpacked(data: bytes | None) -> Highlighter:
+    """The registry that packed() was called on, made once in each process."""
     from .languages import FACTORIES
 
-    return Highlighter(FACTORIES)
+    if data is None:
+        return shared()
+    identity, revision, bundled, own, names, generations = pickle.loads(data)
+    out = Highlighter({n: FACTORIES[n] for n in bundled}, identity)
+    out.languages |= own
+    out.revision, out.names, out.generations = revision, names, generations
+    return out
+
+
+def saved(state: tuple | None) -> bytes | None:
+    """A state as a column's value."""
+    return None if state is None else pickle.dumps(state, 5)
+
+
+def restored(data: bytes | None) -> tuple | None:
+    return None if data is None else pickle.loads(bytes(data))
