@@ -181,16 +181,21 @@ def lua() -> Language:
 
 def sql() -> Language:
     reserved = "all alter and any array as asc at authorization begin between both by call case cast check collate column commit connect constraint create cross cube current cursor declare default delete deref describe desc distinct drop each else end escape except execute exists fetch filter for foreign from full function grant group grouping having in inner insert intersect interval into is join lateral leading left like limit local natural no not null of offset on only open or order outer over partition primary procedure range recursive references release returning returns revoke right rollback rollup row rows select set similar some start table tablesample then to trailing trigger truncate union unique unknown update user using values view when where window with within without first last key nulls"
-    functions = "abs avg ceil ceiling coalesce count cume_dist dense_rank exp extract first_value floor lag last_value lead listagg ln lower max min mod ntile nullif percent_rank position power rank row_number sqrt substring sum trim upper"
+    functions = "abs avg cast ceil ceiling coalesce count cume_dist dense_rank exp extract first_value floor lag last_value lead listagg ln lower max min mod ntile nullif percent_rank position power rank row_number sqrt substring sum trim upper"
     types = "bigint binary blob boolean char character clob date dec decfloat decimal float int integer nchar nclob national numeric real row smallint time timestamp varchar varying varbinary"
     own = "|".join(functions.split())
-    kept = " ".join(w for w in reserved.split() if w not in functions.split())
+    # of the words that are no functions, those of one or two letters say little
+    kept = " ".join(f"{w}|0" if len(w) < 3 else w for w in reserved.split() if w not in functions.split())
+    # Words that go together.
+    pairs = "create table, insert into, primary key, foreign key, not null, alter table, add constraint, grouping sets, on overflow, character set, respect nulls, ignore nulls, nulls first, nulls last, depth first, breadth first"
+    together = "|".join(r"\s+".join(x.split()) for x in pairs.split(","))
     return Language(
         "sql",
         Mode(
             illegal=r"[{}]|</",
             keywords=words(kept, pattern=r"\b[\w\.]+", literal="true false unknown", type=types, built_in="current_catalog current_date current_path current_role current_schema current_time current_timestamp current_user session_user localtime localtimestamp"),
             contains=[
+                Mode(scope="keyword", match=rf"\b(?:{together})(?![\w.])", relevance=0),
                 Mode(begin=rf"\b(?:{own})\s*\(", relevance=0, keywords=words(built_in=functions)),
                 Mode(scope="variable", match=r"@[a-z0-9][a-z0-9_]*"),
                 Mode(scope="string", variants=[Mode(begin="'", end="'", contains=[Mode(match="''")])]),

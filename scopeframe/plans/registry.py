@@ -52,7 +52,7 @@ def spelled(pattern: str) -> str | None:
 
 
 #: Ways to read words: (pattern, whether letter case matters not).  All bundled languages that take part in detection and have outermost
-#: keywords are scored, but bash, powershell, sql and swift, whose words end by a look around.
+#: keywords are scored, but bash, fortran, powershell, sql and swift, whose words end by a look around.
 _SCORED = {n: (spelled(x.root.keywords.pattern), x.case_insensitive) for n, x in sorted(shared().languages.items()) if x.root.keywords and x.detectable and spelled(x.root.keywords.pattern)}
 WAYS = sorted(set(_SCORED.values()))
 
