@@ -64,7 +64,7 @@ def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[by
 def salted_join(left: DataFrame, right: DataFrame, on: str, by: Column, how: str = "inner", salts: int | None = None) -> DataFrame:
     """left joined with right, whose rows are distinct in on (at most one a key), on the column of this name.
 
-    A key with over a quarter of a partition's share of left's rows is dealt over salts (the session's shuffle
+    Null keys match nothing and are dealt over all tasks.  A key with over a quarter of a partition's share of left's rows is dealt over salts (the session's shuffle
     partitions, unless given) tasks by a hash of by; there are at most four times as many such keys as partitions, so they are sent to all."""
     n = parts(left.sparkSession)
     counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
@@ -72,9 +72,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, by: Column, how: str
     hot = [r[0] for r in counts.where((F.col("_n") * 4 * n > total) & (F.col("_n") > LEAST_HOT)).select(on).collect()]
     if not hot:
         return left.join(right, on, how)
+    hot = [k for k in hot if k is not None]
     keys = left.sparkSession.createDataFrame([(k,) for k in hot], left.select(F.col(on).alias("_hot")).schema)
     is_hot = F.col("_hot").isNotNull()
     salts = salts or n
-    spread = left.join(F.broadcast(keys), F.col(on) == F.col("_hot"), "left").withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    spread = left.join(F.broadcast(keys), F.col(on) == F.col("_hot"), "left").withColumn("_salt", F.when(is_hot | F.col(on).isNull(), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     copied = right.join(F.broadcast(keys), F.col(on) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return spread.join(copied, [on, "_salt"], how).drop("_salt")

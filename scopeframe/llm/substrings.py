@@ -10,7 +10,7 @@ Against hot keys: grams that make up more than SHARE of all grams are ordered
 last (a first pass finds these; there can be at most 4 / (3 SHARE) of them), so a
 common line is no common minimiser; and a super-k-mer found twice in one slice of
 the input is settled there and sent on once.  Results are keyed by a digest of the
-text, since equal texts lose the same words.
+text, since equal texts lose the same words; a text with very many copies meets them in many tasks.
 """
 
 from __future__ import annotations
@@ -24,14 +24,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import parts, prepare
+from .runtime import parts, prepare, salted_join
 from .wordbuf import Words, mix, pieces
 
 WINDOW, GRAM = 35, 4
+#: A text with as many words as a window, found in one pass.
+LONG = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{WINDOW - 1}}}[^\x20\x09-\x0D]"
 #: A gram is hot if it makes up more than this share of all grams.
 SHARE = 1 / 4000
 #: Bytes of packed strings a task holds before it sends them on.
 HELD_BYTES = 20 << 20
+#: How hard they are squeezed: level 5 takes a tenth less than 1, for 17 CPU seconds a GB.
+LEVEL = 5
 KEY_BYTES = 12
 #: Buckets for each shuffle partition; one bucket at a time is unpacked.
 BUCKETS = 16
@@ -122,7 +126,7 @@ def pack(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, head, body): super-k-mers packed by bucket (0 and up), or a key and its spans settled already (below 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minimisers, squeeze = Minimisers(hot), zstandard.ZstdCompressor(level=1)
+        minimisers, squeeze = Minimisers(hot), zstandard.ZstdCompressor(level=LEVEL)
         held: dict[int, tuple[list[bytes], list[bytes], list[tuple[int, int]]]] = {}
         size, spans = 0, _Spans(buckets)
 
@@ -195,19 +199,14 @@ def repeated(strings: list[bytes], twice: np.ndarray) -> tuple[Words, np.ndarray
 
 
 def _settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[tuple[bytes, bytes]]] = {}
+    """Rows come sorted by bucket; one bucket is held at a time."""
     spans = _Spans(buckets)
     unsqueeze = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for bucket, head, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if bucket < 0:
-                spans.add(head, np.frombuffer(body, np.int32).reshape(-1, 2))
-            else:
-                held.setdefault(bucket, []).append((head, body))
-    for bucket in list(held):
+
+    def settle(held: list[tuple[bytes, bytes]]) -> None:
         strings: list[bytes] = []
         places, twice, keys = [], [], []
-        for head, body in held.pop(bucket):
+        for head, body in held:
             own = unsqueeze.decompress(body).split(b"\n")
             numbers = np.frombuffer(head[: 8 * len(own)], np.int32).reshape(-1, 2)
             strings += own
@@ -217,13 +216,27 @@ def _settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         place = np.concatenate(places)
         words, start, string = repeated(strings, np.concatenate(twice))
         if not len(string):
-            continue
+            return
         at = np.flatnonzero(np.r_[True, string[1:] != string[:-1]])
         for lo, hi in zip(at, [*at[1:], len(string)], strict=True):
             s = string[lo]
             spans.add(keys[s], covered(start[lo:hi] - words.first[s] + place[s]))
-        if spans.n > 1 << 20:
-            yield from spans.out()
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, head, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if held and bucket != now:
+                settle(held)
+                held = []
+            now = bucket
+            if bucket < 0:
+                spans.add(head, np.frombuffer(body, np.int32).reshape(-1, 2))
+            else:
+                held.append((head, body))
+            if spans.n > 1 << 20:
+                yield from spans.out()
+    if held:
+        settle(held)
     yield from spans.out()
 
 
@@ -232,7 +245,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spark = prepare(docs.sparkSession)
     picked = docs.select(F.col(text_col).alias("_text"))
     buckets = BUCKETS * parts(spark)
-    dealt = pack(picked, hot_grams(picked), buckets).repartition(parts(spark), "bucket")
+    dealt = pack(picked, hot_grams(picked), buckets).repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _settle(batches, buckets)
@@ -263,9 +276,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows, so they lose all words that a window covers."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.substring(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))), 1, KEY_BYTES).alias("_k"))
+    # texts with fewer words than a window lose none, so they go nowhere
+    whole = F.coalesce(F.col(text_col).rlike(LONG), F.lit(False))
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), whole.alias("_long"))
     spans = repeated_spans(docs, text_col)
-    joined = picked.join(spans, picked._k == spans._key, "left").select("_id", "_text", "_spans")
+    keyed = picked.where("_long").withColumn("_key", F.substring(F.unhex(F.md5("_text")), 1, KEY_BYTES))
+    met = salted_join(keyed, spans, "_key", by=F.monotonically_increasing_id(), how="left").select("_id", "_text", "_spans")
+    joined = met.unionByName(picked.where("not _long").select("_id", "_text").withColumn("_spans", F.lit(None).cast("array<binary>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "_text"):
