@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -79,7 +79,7 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
 
 
 class Automaton:
-    """Aho-Corasick over byte strings, as tables: moves[256 * state + byte], and for each state the
+    """Aho-Corasick over byte strings, as tables: moves[width * state + column[byte]], and for each state the
     longest pattern that ends there and, for each pattern, the next shorter one (its output link)."""
 
     def __init__(self, patterns: list[tuple[bytes, int, float]], byte_ids: list[int], unknown: float):
@@ -94,7 +94,13 @@ class Automaton:
                     children.append({})
                 at = to
             of_state[at] = k + 1
-        self.moves = np.zeros((len(children), 256), np.int32)
+        used = sorted({b for p, _, _ in patterns for b in p})
+        #: bytes that no pattern has are one column
+        self.column = np.full(256, len(used), np.int64)
+        self.column[used] = np.arange(len(used))
+        self.width = len(used) + 1
+        column = self.column.tolist()
+        self.moves = np.zeros((len(children), self.width), np.int32)
         self.longest = np.zeros(len(children), np.int32)
         #: by pattern number; number 0 is none
         self.link = np.zeros(len(patterns) + 1, np.int32)
@@ -114,8 +120,8 @@ class Automaton:
                         self.link[own] = self.longest[fail]
                         self.longest[state] = own
                 for byte, to in children[state].items():
-                    fails[to] = self.moves[fail, byte] if state else 0
-                    self.moves[state, byte] = to
+                    fails[to] = self.moves[fail, column[byte]] if state else 0
+                    self.moves[state, column[byte]] = to
                     below.append(to)
             row = below
         self.moves = self.moves.ravel()
@@ -131,7 +137,7 @@ class Automaton:
         state, lead = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for end in range(1, width + 1):
             k = int(np.searchsorted(-lengths, -end, side="right"))  # words that reach this end
-            state[:k] = self.moves[(state[:k] << 8) + words[:k, end - 1]]
+            state[:k] = self.moves[state[:k] * self.width + self.column[words[:k, end - 1]]]
             whole = np.flatnonzero((words[:k, end] & 0xC0) != 0x80) if end < width else np.arange(k)
             row, from_ = best[end], back[end]
             row[whole] = scores[lead[whole] * n + whole] + self.unknown
@@ -167,11 +173,12 @@ class Automaton:
     def best_path(self, word: bytes) -> np.ndarray:
         """The same for one word, step by step, in memory by its length: for words too long to lie beside others."""
         longest, link, length, ident, score, byte_ids = self.lists
-        moves, n = self.moves, len(word)
+        moves, n, width = self.moves, len(word), self.width
+        column = self.column.tolist()
         best, back = array.array("d", [0.0]) * (n + 1), array.array("i", [-1]) * (n + 1)
         state = lead = 0
         for end in range(1, n + 1):
-            state = int(moves[state << 8 | word[end - 1]])
+            state = int(moves[state * width + column[word[end - 1]]])
             if end < n and word[end] & 0xC0 == 0x80:
                 continue
             top, by = best[lead] + self.unknown, -1
@@ -252,12 +259,12 @@ def viterbi(v: Vocabulary, word: str) -> tuple[list[int], float]:
 WIDTH = 128
 
 
-def same_as_first(data: np.ndarray, start: np.ndarray, length: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """Whether each word has the bytes of the word its number in model names (of the same length)."""
+def equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from each place of a on are those from the place of b on."""
     at = np.cumsum(length) - length
-    place = np.arange(int(length.sum())) - np.repeat(at, length)
-    equal = data[np.repeat(start, length) + place] == data[np.repeat(start[model], length) + place]
-    return np.logical_and.reduceat(equal, at)
+    place = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), length)
+    same = data[np.repeat(a.astype(np.int32), length) + place] == data[np.repeat(b.astype(np.int32), length) + place]
+    return np.logical_and.reduceat(same, at)
 
 
 def encode(v: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +292,7 @@ def encode(v: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.nda
     _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
     same = same.ravel()
     unlike = length[first][same] != length
-    unlike[~unlike] = ~same_as_first(data, np.r_[start[first], start[~unlike]], np.r_[length[first], length[~unlike]], np.r_[np.arange(len(first)), same[~unlike]])[len(first) :]
+    unlike[~unlike] = ~equal(data, start[~unlike], start[first][same[~unlike]], length[~unlike])
     if unlike.any():
         # words that only share a hash with another get numbers of their own
         place = np.flatnonzero(unlike)

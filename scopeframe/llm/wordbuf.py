@@ -7,6 +7,7 @@ of words come from one prefix sum, so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,3 +114,12 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int = 1 << 20) -
             held += size
         if begin < len(sizes):
             yield batch.slice(begin), as_bytes(column.slice(begin))
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers are kept for later tasks, beside others'."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
