@@ -81,6 +81,8 @@ class Compiled:
     end_looks_back: bool = False
     #: the rules' search functions
     searches: list = field(default_factory=list)
+    #: how many of the rules matter where illegal text is ignored
+    quiet: int = 0
 
     def end_at(self, text: str, at: int) -> re.Match | None:
         return self.end.match(text[at:]) if self.end_looks_back else self.end.match(text, at)
@@ -202,9 +204,14 @@ class Compiler:
         out.begins = len(out.rules)
         if out.terminator is not None:
             out.rules.append((self.regex(out.terminator), "end", None))
+        out.quiet = len(out.rules)
         if mode.illegal:
             listed = [mode.illegal] if isinstance(mode.illegal, str) else mode.illegal
-            out.rules.append((self.regex(either(*listed)), "illegal", None))
+            pattern = self.regex(either(*listed))
+            out.rules.append((pattern, "illegal", None))
+            # ignored, it only keeps what it matches from the other rules: nothing, if that is one character, which they had first
+            if re._parser.parse(pattern.pattern, pattern.flags & ~re.UNICODE).getwidth() != (1, 1):
+                out.quiet = len(out.rules)
         out.searches = [pattern.search for pattern, *_ in out.rules]
         if mode.starts:
             out.starts = self.one(mode.starts, parent)

@@ -348,7 +348,7 @@ class Run:
             return None
         slot = self.slots.get(mode.ident)
         if slot is None:
-            n = len(mode.rules)
+            n = mode.quiet if self.ignore else len(mode.rules)
             slot = self.slots[mode.ident] = [-1] * n, [None] * n, [0] * n
         starts, found, since = slot
         if at < self.lowest.get(mode.ident, 0):
