@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .runtime import prepare
 from .wordbuf import Words, as_bytes, pieces
@@ -111,6 +112,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     spark = prepare(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     found = []
     for names, index in blocks(items, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast((names, index))
@@ -123,7 +125,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                     rows = [hits[i][0] for i in range(len(hits))]
                     n = [len(index.shingles[i]) for _, i, _ in hits]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows)), pa.array([names[i] for _, i, _ in hits], batch_type(kinds[1])), pa.array([s for *_, s in hits], pa.int64()), pa.array(n, pa.int64()), pa.array([s / m for (*_, s), m in zip(hits, n, strict=True)], pa.float64())],
+                        [batch.column(0).take(pa.array(rows)), pa.array([names[i] for _, i, _ in hits], item_type), pa.array([s for *_, s in hits], pa.int64()), pa.array(n, pa.int64()), pa.array([s / m for (*_, s), m in zip(hits, n, strict=True)], pa.float64())],
                         names=[id_col, item_col, "n_shared", "n_item", "containment"],
                     )
 
@@ -131,12 +133,10 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return reduce(DataFrame.unionAll, found)
 
 
-def batch_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that hold no item; whole rows pass through, and nothing is shuffled."""
+    """The documents that hold no item; whole rows pass through, and nothing is shuffled.
+
+    Null and empty texts hold nothing and stay; rows that repeat stay or go together; without items all stay.  An empty table gives no rows."""
     spark = prepare(docs.sparkSession)
     place = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]

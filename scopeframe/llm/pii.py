@@ -234,15 +234,18 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFram
     An empty table gives no rows."""
     prepare(docs.sparkSession)
     changed = attempts(entities(docs.select(text_col), text_col), key).select(F.concat_ws(":", "kind", "norm").alias("key"), "attempt").checkpoint()
-    text = F.col("_text")
-    out = _tabled(docs.withColumnRenamed(text_col, "_text"), "_text", changed)
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    own = names[docs.columns.index(text_col)]
+    text = F.col(own)
+    out = _tabled(docs.toDF(*names), own, changed)
     out = out.withColumn("_m", _found(text)).withColumn("_e", F.transform("_m", _entity))
     attempt = lambda e: F.coalesce(F.element_at("_t", e["key"]), F.lit(0))
     fresh = lambda e, m: F.when(e.isNull(), m).otherwise(let(fresh_norm(e["kind"], e["norm"], attempt(e), key), lambda n: as_written(m, e["kind"], n)))
     out = out.withColumn("_s", F.zip_with("_e", "_m", fresh)).withColumn("_b", F.when(F.size("_m") > 0, F.split(text, PATTERN, -1)))
     put = F.array_join(F.zip_with("_b", "_s", lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
-    out = out.withColumn(text_col, F.when(F.size("_m") > 0, put).otherwise(text))
-    return out.withColumn("_kinds", F.filter(F.transform("_e", lambda e: e["kind"]), lambda k: k.isNotNull())).select(*docs.columns, "_kinds")
+    out = out.withColumn("_new", F.when(F.size("_m") > 0, put).otherwise(text))
+    kinds = F.filter(F.transform("_e", lambda e: e["kind"]), lambda k: k.isNotNull())
+    return out.withColumn("_kinds", kinds).select(*["_new" if n == own else n for n in names], "_kinds").toDF(*docs.columns, "_kinds")
 
 
 def op6(docs: DataFrame) -> DataFrame:

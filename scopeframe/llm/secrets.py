@@ -125,11 +125,14 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with each secret span (overlapping ones together) replaced by the mark; n_chars, if there, is counted anew.
     Rows without secrets are left as they are, null and empty texts too; rows that repeat are changed alike."""
-    scanned = scan(docs.withColumn("_text", F.col(text_col)), "_text")
-    out = scanned.withColumn(text_col, F.when(F.size("_spans") > 0, replaced(F.col("_text"), F.col("_spans"), mark)).otherwise(F.col("_text")))
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    scanned = scan(docs.toDF(*names), text)
+    out = scanned.withColumn("_new", F.when(F.size("_spans") > 0, replaced(F.col(text), F.col("_spans"), mark)).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*["_new" if n == text else n for n in names]).toDF(*docs.columns)
 
 
 def op8(docs: DataFrame) -> DataFrame:

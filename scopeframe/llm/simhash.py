@@ -247,18 +247,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts without words are one group.  Rows are told apart by id and a hash of all columns, so rows of one id but other texts are
     judged each for itself, and so are rows without id.  An empty table gives no rows."""
     spark = prepare(docs.sparkSession)
-    own = docs.withColumn("_h", F.xxhash64(*docs.columns))
-    rows = resemble.keyed(own, text_col, id_col, "_h").checkpoint()
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    id_name, text_name = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    own = docs.toDF(*names).withColumn("_h", F.xxhash64(*names))
+    rows = resemble.keyed(own, text_name, id_name, "_h").checkpoint()
     items = rows.groupBy("item").agg(*[F.min(c).alias(c) for c in ("fp", "n", "sketch")]).checkpoint()
-    found = resemble.roots(docs, text_col, items.select("item", "n", "sketch"), collisions(items.select("item", "fp"), spark))
-    place = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_h").alias("h"))
+    found = resemble.roots(own, text_name, items.select("item", "n", "sketch"), collisions(items.select("item", "fp"), spark))
+    place = F.struct(F.col(id_name).isNull().alias("no"), F.col(id_name).alias("id"), F.col("_h").alias("h"))
     placed = salted_join(rows.select("item", place.alias("_place")), found.withColumnRenamed("node", "item"), "item", by=F.col("_place.h"), how="left").select(F.coalesce("root", "item").alias("_root"), "_place").checkpoint()
     first = placed.groupBy("_root").agg(F.min("_place").alias("_first"))
     gone = salted_join(placed, first, "_root", by=F.col("_place.h")).where(~F.col("_place").eqNullSafe(F.col("_first"))).select(F.col("_place.id").alias("_gone"), F.col("_place.h").alias("_gone_h")).distinct()
-    left = own.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti")
-    if rows.groupBy(id_col, "_h").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates([id_col, "_h"])
-    return left.drop("_h")
+    left = own.join(gone, F.col(id_name).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti")
+    if rows.groupBy(id_name, "_h").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates([id_name, "_h"])
+    return left.select(*names).toDF(*docs.columns)
 
 
 def op2(docs: DataFrame) -> DataFrame:
