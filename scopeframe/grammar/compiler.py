@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from re import _compiler as sre
+from re import _constants as _c
+from re import _parser as _p
 
 from .model import SELF, GrammarError, Language, Mode
 
@@ -55,6 +58,46 @@ class Runs:
         return None
 
 
+def _first(items: list) -> list:
+    """A parsed pattern's items, groups at its front opened."""
+    while items and items[0][0] is _c.SUBPATTERN and not items[0][1][1] and not items[0][1][2]:
+        items = [*items[0][1][3], *items[1:]]
+    return items
+
+
+def _any_of(item: tuple, state, flags: int) -> set[str] | None:
+    """The characters (of those looked at) that one item matches; none for what is no single character."""
+    if item[0] not in (_c.IN, _c.LITERAL, _c.NOT_LITERAL):
+        return None
+    one = sre.compile(_p.SubPattern(state, [item]), flags)
+    return {c for c in SEEN if one.match(c)}
+
+
+#: Characters by which classes are compared.
+SEEN = [chr(i) for i in (*range(0x250), 0x3B1, 0x416, 0x5D0, 0x4E2D, 0x1F600)]
+
+
+def by_word(pattern: re.Pattern) -> re.Pattern | Runs:
+    """The pattern, as Runs if it begins with a name: one or more of a class, or one of a class and any number of another that holds it.  What
+    fails at one character of such a run fails at the next."""
+    flags = pattern.flags
+    parsed = _p.parse(pattern.pattern, flags & ~re.UNICODE)
+    items = _first(list(parsed))
+    if not items or re.search(r"\(\?P=|\\[1-9]", pattern.pattern):
+        return pattern
+    op, of = items[0]
+    if op is _c.MAX_REPEAT and of[0] in (1, 2) and of[1] is _c.MAXREPEAT and len(of[2]) == 1:
+        run, begin = items[:1], _any_of(of[2][0], parsed.state, flags)
+    else:
+        run, begin = items[:2], _any_of(items[0], parsed.state, flags)
+        if begin is None or len(items) < 2 or items[1][0] is not _c.MAX_REPEAT or items[1][1][0] != 0 or items[1][1][1] is not _c.MAXREPEAT or len(items[1][1][2]) != 1:
+            return pattern
+        rest = _any_of(items[1][1][2][0], parsed.state, flags)
+        if rest is None or not begin <= rest:
+            return pattern
+    return Runs(pattern, sre.compile(_p.SubPattern(parsed.state, run), flags)) if begin and {"a", "b"} <= begin else pattern
+
+
 @dataclass(eq=False)
 class Compiled:
     """ident is the mode's place in its language, the same in every process."""
@@ -81,6 +124,8 @@ class Compiled:
     end_looks_back: bool = False
     #: the rules' search functions
     searches: list = field(default_factory=list)
+    #: the same for texts with very long words, in time proportional to the text
+    careful: list = field(default_factory=list)
     #: how many of the rules matter where illegal text is ignored
     quiet: int = 0
 
@@ -210,9 +255,10 @@ class Compiler:
             pattern = self.regex(either(*listed))
             out.rules.append((pattern, "illegal", None))
             # ignored, it only keeps what it matches from the other rules: nothing, if that is one character, which they had first
-            if re._parser.parse(pattern.pattern, pattern.flags & ~re.UNICODE).getwidth() != (1, 1):
+            if _p.parse(pattern.pattern, pattern.flags & ~re.UNICODE).getwidth() != (1, 1):
                 out.quiet = len(out.rules)
         out.searches = [pattern.search for pattern, *_ in out.rules]
+        out.careful = [(by_word(pattern) if isinstance(pattern, re.Pattern) else pattern).search for pattern, *_ in out.rules]
         if mode.starts:
             out.starts = self.one(mode.starts, parent)
         return out

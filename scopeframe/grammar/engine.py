@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import functools
 import pickle
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,6 +18,8 @@ from .compiler import Compiled, Compiler
 from .model import GrammarError, Hints, Language, UnknownLanguage
 
 MOST_HITS = 7
+#: In a text with such a word, rules that begin with a name are searched for word by word.
+LONG_WORD = re.compile(r"\w{1000}")
 FUSE = 100_000
 MOST_DEPTH = 64
 
@@ -263,6 +266,7 @@ class Run:
         #: by mode: next starts of its rules (past the text's end without), their matches, and from where these were searched
         self.slots: dict[int, tuple[list[int], list, list[int]]] = {}
         self.lowest: dict[int, int] = {}
+        self.long = LONG_WORD.search(text) is not None
 
     def name(self, scope: str) -> str:
         return self.aliases.get(scope, scope)
@@ -360,7 +364,7 @@ class Run:
         best = none
         for k, start in enumerate(starts if not first else starts[first:], first):
             if start < at:
-                m = mode.searches[k](text, at)
+                m = (mode.careful if self.long else mode.searches)[k](text, at)
                 start = starts[k] = none if m is None else m.start()
                 found[k], since[k] = m, at
             if start == at:

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from scopeframe.grammar.compiler import Runs
+from scopeframe.grammar.compiler import Runs, by_word
 from scopeframe.grammar.engine import Emitter, Highlighter, shared
 from scopeframe.grammar.languages import FACTORIES
 from scopeframe.grammar.model import SELF, GrammarError, Language, Mode, UnknownLanguage, words
@@ -139,6 +139,27 @@ def test_runs_without_a_match_are_passed_over():
     assert runs.search("ab " * 20000, 0) is None
 
 
+@pytest.mark.parametrize("pattern, is_word", [(r"[a-z]\w*(?=:)", True), (r"([a-z_]\w*)(\s*)(=)", True), (r"\w+!", True), (r"[a-z]{2,}\d", True), (r"[a-z][a-z0-9]*!?:", True), (r"[a-z][0-9]*x", False), (r"\b[a-z]+:", False), (r"(\w+) \1", False), (r"a|b+", False), (r" +x", False), (r"[a-z]\w*|:", False)])
+def test_words_are_found_where_the_pattern_finds_them(pattern, is_word):
+    import itertools
+
+    plain, word = re.compile(pattern), by_word(re.compile(pattern))
+    assert isinstance(word, Runs) == is_word
+    for text in map("".join, itertools.product("a1: !", repeat=5)):
+        for at in range(len(text) + 2):
+            x, y = plain.search(text, at), word.search(text, at)
+            assert (x and x.span()) == (y and y.span()), (text, at)
+
+
+def test_long_names_take_linear_time():
+    import time
+
+    for name in ("javascript", "ruby", "nix", "bash", "elixir"):
+        began = time.perf_counter()
+        shared().highlight("aB3x" * 25_000, name)
+        assert time.perf_counter() - began < 3
+
+
 def test_emitter_merges():
     e = Emitter()
     e.text(2, "a")
