@@ -17,6 +17,7 @@ Pairs from elsewhere (fingerprints that collide) may be added to those compared.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import parts, prepare
+from .runtime import parts, prepare, release
 from .wordbuf import LOWER, Words, mix, pieces
 
 SHINGLE = 5
@@ -33,6 +34,8 @@ SHINGLE = 5
 SAMPLED, FREQUENT, MOST = 16, 4, 1 << 20
 #: Parts that shingles are dealt out in.
 DEALT = 1024
+#: How many more pairs a component may have in each next round.
+GROWTH = 32
 #: So many keys of sets to compare are sent to all tasks; if there are more, the sets are joined with them by a shuffle.
 SENT = 4 << 20
 
@@ -224,9 +227,8 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "m", "p", "n", "q").mapInArrow(run, "x long, y long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, sketches: DataFrame, spark: SparkSession) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, spark: SparkSession) -> DataFrame:
     """The pairs (x, y) whose sets are similar."""
-    pairs = _plausible(pairs, sketches).checkpoint()
     asked = pairs.select(F.col("x").alias("item")).unionAll(pairs.select("y")).distinct().checkpoint()
     few = asked.count() <= SENT
     shared = spark.sparkContext.broadcast(np.sort(asked.toArrow().column("item").to_numpy()) if few else None)
@@ -258,42 +260,92 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, sketches: DataFr
     return pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(compare, "a long, b long")
 
 
+def closest(n: np.ndarray, item: np.ndarray, root: np.ndarray, marks: list[np.ndarray], failed: list[list[int] | None], most: int) -> set[tuple[int, int]]:
+    """Of the sets in one list (by size), pairs of different components that may be similar and haven't failed: for each component the
+    most that are closest by their sketches."""
+    upto = np.searchsorted(n, 5 * n // 4, side="right")
+    width, first, rows = 0, 0, np.empty((0, 0), np.uint64)
+    best: dict[int, list[tuple[int, int, int]]] = {}
+    for i in range(len(n)):
+        if len(marks[i]) != width:
+            # sizes only grow, so this happens once for each doubling
+            width, first = len(marks[i]), i
+            rows = folded(marks[i:], width)
+        j = np.arange(i + 1, upto[i])
+        j = j[root[j] != root[i]]
+        if failed[i]:
+            j = j[~np.isin(item[j], failed[i])]
+        j = j[may_be_similar(rows[i - first], n[i], rows[j - first], n[j])]
+        if not len(j):
+            continue
+        apart = np.bitwise_count(rows[i - first] ^ rows[j - first]).sum(axis=1, dtype=np.int64)
+        for k in np.lexsort((item[j], apart)).tolist():
+            pair = int(apart[k]), min(int(item[i]), int(item[j[k]])), max(int(item[i]), int(item[j[k]]))
+            for side in (int(root[i]), int(root[j[k]])):
+                held = best.setdefault(side, [])
+                if len(held) < most:
+                    heapq.heappush(held, tuple(-x for x in pair))
+                else:
+                    heapq.heappushpop(held, tuple(-x for x in pair))
+    return {(-x, -y) for held in best.values() for _, x, y in held}
+
+
 def roots(docs: DataFrame, text_col: str, items: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """(node, root) of every item (as of keyed) that is in one component with a smaller one.
 
-    items: (item, n, sketch), distinct; others: pairs (x, y), x < y, to compare besides those that share a shingle."""
+    items: (item, n, sketch), distinct; others: pairs (x, y), x < y, to compare besides those that share a shingle.
+
+    Neighbours in the lists of sets that share a shingle are compared first.  Then, in rounds, each component with its closest in every list
+    that still has several, one at first and GROWTH times as many in every next round, until no pair is left that might be similar.  So a large group of
+    copies costs about its size, and no pair is passed over."""
     spark = prepare(docs.sparkSession)
     met = _meetings(_entries(docs, text_col, spark)).checkpoint()
+    release(spark)
     pairs = met.where("x is not null").select("x", "y")
     pairs = (pairs if others is None else pairs.unionAll(others.select("x", "y"))).distinct().checkpoint()
-    links = _verified(pairs, docs, text_col, items, spark).checkpoint()
+    near = _plausible(pairs, items).checkpoint()
+    release(spark)
+    links = _verified(near, docs, text_col, spark).checkpoint()
+    release(spark)
+    failed = pairs.join(links.toDF("x", "y"), ["x", "y"], "left_anti").checkpoint()
     found = components(links)
-    # what share a shingle but are not in one component yet is compared pair by pair
     listed = met.where("items is not null").select("items", "sizes").distinct().withColumn("id", F.xxhash64("items", "sizes"))
-    member = listed.select("id", F.explode(F.arrays_zip("items", "sizes")).alias("m")).select("id", F.col("m.items").alias("item"), F.col("m.sizes").alias("n"))
-    member = member.join(found, member.item == found.node, "left").select("id", "item", "n", F.coalesce("root", "item").alias("root")).checkpoint()
-    open_ = member.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("id")
-    apart = member.join(open_, "id", "left_semi").join(items.select("item", "sketch"), "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item", "root", "sketch"))).alias("m"))
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m in batch.column(0):
-                n, item, root = (np.asarray(m.values.field(k)) for k in range(3))
-                marks = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.values.field(3)]
-                upto = np.searchsorted(n, 5 * n // 4, side="right")
-                width, rows = 0, None
-                for i in range(len(n)):
-                    if len(marks[i]) != width:
-                        # sizes only grow, so this happens once for each doubling
-                        width, first = len(marks[i]), i
-                        rows = folded(marks[i:], width)
-                    j = np.arange(i + 1, upto[i])
-                    j = j[root[j] != root[i]]
-                    j = j[may_be_similar(rows[i - first], n[i], rows[j - first], n[j])]
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(item[j], item[i])), pa.array(np.maximum(item[j], item[i]))], names=["x", "y"])
-
-    more = apart.select("m").mapInArrow(cross, "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti").checkpoint()
-    if not more.limit(1).count():
-        return found
-    return components(links.unionAll(_verified(more, docs, text_col, items, spark)).distinct())
+    member = listed.select("id", F.explode(F.arrays_zip("items", "sizes")).alias("m")).select("id", F.col("m.items").alias("item"), F.col("m.sizes").alias("n"), F.col("m.items").alias("root"))
+    most = 1
+    while True:
+        roots_ = found.toDF("_node", "_root")
+        member = member.join(roots_, member.root == F.col("_node"), "left").select("id", "item", "n", F.coalesce("_root", "root").alias("root")).checkpoint()
+        open_ = member.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("id")
+        member = member.join(open_, "id", "left_semi").checkpoint()
+        tried = failed.groupBy("x").agg(F.collect_list("y").alias("failed")).unionAll(failed.groupBy("y").agg(F.collect_list("x")))
+        tried = tried.groupBy(F.col("x").alias("item")).agg(F.flatten(F.collect_list("failed")).alias("failed"))
+        whole = member.join(items.select("item", "sketch"), "item").join(tried, "item", "left")
+        apart = whole.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item", "root", "sketch", "failed"))).alias("m"))
+
+        def cross(batches: Iterator[pa.RecordBatch], most: int = most) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for m in batch.column(0):
+                    n, item, root = (np.asarray(m.values.field(k)) for k in range(3))
+                    marks = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.values.field(3)]
+                    near = sorted(closest(n, item, root, marks, m.values.field(4).to_pylist(), most))
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in near], pa.int64()), pa.array([y for _, y in near], pa.int64())], names=["x", "y"])
+
+        pairs = apart.select("m").mapInArrow(cross, "x long, y long").distinct().checkpoint()
+        del whole, apart, tried, open_, roots_
+        release(spark)
+        if not pairs.limit(1).count():
+            return found
+        new = _verified(pairs, docs, text_col, spark).checkpoint()
+        release(spark)
+        failed = failed.unionAll(pairs.join(new.toDF("x", "y"), ["x", "y"], "left_anti")).checkpoint()
+        if new.limit(1).count():
+            found = _merged(found, new).checkpoint()
+        most *= GROWTH
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, root) after further links: components of the components."""
+    of = lambda df, c: df.join(found.toDF("_node", "_root"), F.col(c) == F.col("_node"), "left").withColumn(c, F.coalesce("_root", c)).drop("_node", "_root")
+    above = components(of(of(links, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()).checkpoint()
+    moved = found.join(above.toDF("_node", "_root"), F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return moved.unionAll(above.select("node", "root"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -47,6 +48,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of tables that are no longer referred to, such as those before a checkpoint.  It does so when the driver
+    collects garbage, which a driver with little to do does only each half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[bytes]]]:
     """(key, blobs) of rows (key, blob) that come sorted by key; only one key's blobs are held."""
     now, held = None, []

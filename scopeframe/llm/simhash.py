@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import resemble
 from .components import components
-from .runtime import in_turn, parts, prepare, salted_join
+from .runtime import in_turn, parts, prepare, release, salted_join
 from .wordbuf import LOWER, Words, pieces
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -232,7 +232,8 @@ def collisions(items: DataFrame, spark: SparkSession, radius: int = RADIUS) -> D
     """Pairs (x, y), x < y, of items (columns item, fp; distinct) that chain all whose fingerprints are equal or within radius bits."""
     points = items.groupBy("fp").agg(F.min("item").alias("first"), F.count(F.lit(1)).alias("n")).checkpoint()
     equal = salted_join(items.select("item", "fp"), points.where("n > 1").select("fp", "first"), "fp", by=F.col("item")).where("item != first").select(F.col("first").alias("p"), F.col("item").alias("q"))
-    near = links(points, spark, points.count(), radius, chained=False)
+    near = links(points, spark, points.count(), radius, chained=False).checkpoint()
+    release(spark)
     named = points.select("fp", "first")
     near = near.join(named.toDF("a", "p"), "a").join(named.toDF("b", "q"), "b").select("p", "q")
     return equal.unionAll(near).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import parts, prepare, salted_join
+from .runtime import parts, prepare, release, salted_join
 from .wordbuf import Words, mix, pieces
 
 WINDOW, GRAM = 35, 4
@@ -279,7 +279,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # texts with fewer words than a window lose none, so they go nowhere
     whole = F.coalesce(F.col(text_col).rlike(LONG), F.lit(False))
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), whole.alias("_long"))
-    spans = repeated_spans(docs, text_col)
+    # written, so that the packed strings' files can go before texts travel
+    spans = repeated_spans(docs, text_col).checkpoint()
+    release(docs.sparkSession)
     keyed = picked.where("_long").withColumn("_key", F.substring(F.unhex(F.md5("_text")), 1, KEY_BYTES))
     met = salted_join(keyed, spans, "_key", by=F.monotonically_increasing_id(), how="left").select("_id", "_text", "_spans")
     joined = met.unionByName(picked.where("not _long").select("_id", "_text").withColumn("_spans", F.lit(None).cast("array<binary>")))
