@@ -35,7 +35,7 @@ SAMPLED, FREQUENT, MOST = 16, 4, 1 << 20
 #: Parts that shingles are dealt out in.
 DEALT = 1024
 #: How many more pairs a component may have in each next round.
-GROWTH = 32
+GROWTH = 16
 #: So many keys of sets to compare are sent to all tasks; if there are more, the sets are joined with them by a shuffle.
 SENT = 4 << 20
 
@@ -260,9 +260,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, spark: SparkSess
     return pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(compare, "a long, b long")
 
 
-def closest(n: np.ndarray, item: np.ndarray, root: np.ndarray, marks: list[np.ndarray], failed: list[list[int] | None], most: int) -> set[tuple[int, int]]:
+def closest(n: np.ndarray, item: np.ndarray, root: np.ndarray, marks: list[np.ndarray], failed: list[list[int] | None], own: np.ndarray, me: int, most: int) -> set[tuple[int, int]]:
     """Of the sets in one list (by size), pairs of different components that may be similar and haven't failed: for each component the
-    most that are closest by their sketches."""
+    most that are closest by their sketches.  Two sets whose largest list is the same are left to that list."""
     upto = np.searchsorted(n, 5 * n // 4, side="right")
     width, first, rows = 0, 0, np.empty((0, 0), np.uint64)
     best: dict[int, list[tuple[int, int, int]]] = {}
@@ -272,7 +272,7 @@ def closest(n: np.ndarray, item: np.ndarray, root: np.ndarray, marks: list[np.nd
             width, first = len(marks[i]), i
             rows = folded(marks[i:], width)
         j = np.arange(i + 1, upto[i])
-        j = j[root[j] != root[i]]
+        j = j[(root[j] != root[i]) & ((own[j] != own[i]) | (own[i] == me))]
         if failed[i]:
             j = j[~np.isin(item[j], failed[i])]
         j = j[may_be_similar(rows[i - first], n[i], rows[j - first], n[j])]
@@ -311,26 +311,32 @@ def roots(docs: DataFrame, text_col: str, items: DataFrame, others: DataFrame |
     found = components(links)
     listed = met.where("items is not null").select("items", "sizes").distinct().withColumn("id", F.xxhash64("items", "sizes"))
     member = listed.select("id", F.explode(F.arrays_zip("items", "sizes")).alias("m")).select("id", F.col("m.items").alias("item"), F.col("m.sizes").alias("n"), F.col("m.items").alias("root"))
+    member = member.withColumn("own", F.col("id"))
     most = 1
     while True:
         roots_ = found.toDF("_node", "_root")
-        member = member.join(roots_, member.root == F.col("_node"), "left").select("id", "item", "n", F.coalesce("_root", "root").alias("root")).checkpoint()
+        member = member.join(roots_, member.root == F.col("_node"), "left").select("id", "item", "n", F.coalesce("_root", "root").alias("root"), "own").checkpoint()
         open_ = member.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("id")
         member = member.join(open_, "id", "left_semi").checkpoint()
+        if most == 1:
+            # a set's largest list; those closed before hold one component each and matter no more
+            size = member.groupBy("id").agg(F.count(F.lit(1)).alias("_s"))
+            largest = member.drop("own").join(size, "id").groupBy("item").agg(F.max_by("id", F.struct("_s", "id")).alias("own"))
+            member = member.drop("own").join(largest, "item").select("id", "item", "n", "root", "own").checkpoint()
         tried = failed.groupBy("x").agg(F.collect_list("y").alias("failed")).unionAll(failed.groupBy("y").agg(F.collect_list("x")))
         tried = tried.groupBy(F.col("x").alias("item")).agg(F.flatten(F.collect_list("failed")).alias("failed"))
         whole = member.join(items.select("item", "sketch"), "item").join(tried, "item", "left")
-        apart = whole.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item", "root", "sketch", "failed"))).alias("m"))
+        apart = whole.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item", "root", "own", "sketch", "failed"))).alias("m"))
 
         def cross(batches: Iterator[pa.RecordBatch], most: int = most) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for m in batch.column(0):
-                    n, item, root = (np.asarray(m.values.field(k)) for k in range(3))
-                    marks = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.values.field(3)]
-                    near = sorted(closest(n, item, root, marks, m.values.field(4).to_pylist(), most))
+                for me, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    n, item, root, own = (np.asarray(m.values.field(k)) for k in range(4))
+                    marks = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.values.field(4)]
+                    near = sorted(closest(n, item, root, marks, m.values.field(5).to_pylist(), own, me, most))
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in near], pa.int64()), pa.array([y for _, y in near], pa.int64())], names=["x", "y"])
 
-        pairs = apart.select("m").mapInArrow(cross, "x long, y long").distinct().checkpoint()
+        pairs = apart.select("id", "m").mapInArrow(cross, "x long, y long").distinct().checkpoint()
         del whole, apart, tried, open_, roots_
         release(spark)
         if not pairs.limit(1).count():
