@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text encoded at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -100,7 +100,7 @@ class Automaton:
         self.column[used] = np.arange(len(used))
         self.width = len(used) + 1
         column = self.column.tolist()
-        self.moves = np.zeros((len(children), self.width), np.int32)
+        self.moves = np.zeros((len(children), self.width), np.uint16 if len(children) <= 1 << 16 else np.int32)
         self.longest = np.zeros(len(children), np.int32)
         #: by pattern number; number 0 is none
         self.link = np.zeros(len(patterns) + 1, np.int32)

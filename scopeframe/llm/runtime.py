@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-_ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+_ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 #: A key of fewer rows is never dealt over several tasks.
 LEAST_HOT = 100
 
