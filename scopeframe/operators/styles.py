@@ -254,21 +254,37 @@ def utf16_slice(text: Column, start: Column, length: Column) -> Column:
     return F.decode(F.substring(F.encode(text, "UTF-16BE"), 2 * start + 1, 2 * length), "UTF-16BE")
 
 
+def _runs_within(df: DataFrame, theme: Theme, tokens: str, shared: Column) -> DataFrame:
+    """Adds _runs: what render would list as runs of each row (start, length, color, dark_color, bold, italic), by start.  No shuffle; a row costs its tokens."""
+    whole = "struct<start:int,length:int,style:struct<color:string,dark_color:string,bold:boolean,italic:boolean>>"
+    cut = lambda t: F.struct(F.greatest(t["start"], F.lit(0)).alias("start"), (F.least(t["start"] + t["length"], shared) - F.greatest(t["start"], F.lit(0))).alias("length"), style_of(t["scopes"], theme).alias("style")).cast(whole)
+    seen = lambda c: (c["length"] > 0) & (c["style"]["color"].isNotNull() | c["style"]["bold"] | c["style"]["italic"])
+    # each step is a column of its own that the next refers to more than once, so that Spark doesn't put one inside the other's loop
+    df = df.withColumn("_cut", F.filter(F.transform(F.coalesce(tokens, F.array().cast("array<struct<start:int,length:int,scopes:array<string>>>")), cut), seen))
+    last = lambda i: F.get(F.col("_cut"), i - 1)
+    new = F.transform("_cut", lambda c, i: F.when((i > 0) & (last(i)["start"] + last(i)["length"] == c["start"]) & last(i)["style"].eqNullSafe(c["style"]), -1).otherwise(i))
+    df = df.withColumn("_first", F.filter(new, lambda i: i >= 0))
+    upto = lambda k: F.coalesce(F.get(F.col("_first"), k + 1), F.size("_cut")) - 1
+    head, tail = lambda i: F.get(F.col("_cut"), i), lambda k: F.get(F.col("_cut"), upto(k))
+    run = lambda i, k: F.struct(head(i)["start"].alias("start"), (tail(k)["start"] + tail(k)["length"] - head(i)["start"]).alias("length"), *[head(i)["style"][c].alias(c) for c in ("color", "dark_color", "bold", "italic")])
+    return df.withColumn("_runs", F.sort_array(F.transform("_first", run)))
+
+
 def attributed(df: DataFrame, key: str, text: str, theme: Theme, tokens: str = "tokens", source_length: str = "source_length") -> DataFrame:
     """(key, start, length, part, color, dark_color, bold, italic): the whole text as parts in order, what no run covers in the theme's
-    foreground.  Keys are distinct; null and empty texts give no parts."""
+    foreground.  Null and empty texts give no parts.  Each row is worked on where it is: nothing is grouped, joined or sent."""
     from ..functions.text import utf16_length
 
-    whole = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), utf16_length(F.col(text)).alias("_n")).where("_n > 0")
-    runs = render(df.select(key, tokens, source_length, utf16_length(F.coalesce(text, F.lit(""))).alias("_units")), key, theme, tokens, source_length, "_units").where("applied")
-    listed = runs.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("start", "length", "color", "dark_color", "bold", "italic"))).alias("_runs"))
-    joined = whole.join(listed, F.col("_key") == F.col("_k"), "left").withColumn("_runs", F.coalesce("_runs", F.array().cast("array<struct<start:int,length:int,color:string,dark_color:string,bold:boolean,italic:boolean>>")))
+    own = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(tokens).alias("_tokens"), F.col(source_length).alias("_source"), utf16_length(F.col(text)).alias("_n")).where("_n > 0")
+    own = own.withColumn("_shared", F.when(F.col("_source") == 0, F.col("_n")).otherwise(F.least("_source", "_n")))
+    listed = _runs_within(own, theme, "_tokens", F.col("_shared"))
     base = lambda a, n: F.struct(a.alias("start"), n.alias("length"), F.lit(theme.foreground.color).alias("color"), F.lit(theme.foreground.dark_color).alias("dark_color"), F.lit(False).alias("bold"), F.lit(False).alias("italic"))
     ends = F.transform("_runs", lambda r: r["start"] + r["length"])
     gap = lambda r, i: F.when(i == 0, 0).otherwise(F.get(F.col("_ends"), i - 1))
     full = lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), F.coalesce(r["color"], F.lit(theme.foreground.color)).alias("color"), F.when(r["color"].isNull(), F.lit(theme.foreground.dark_color)).otherwise(r["dark_color"]).alias("dark_color"), r["bold"].alias("bold"), r["italic"].alias("italic"))
     pieces = F.flatten(F.transform("_runs", lambda r, i: F.array(base(gap(r, i), r["start"] - gap(r, i)), full(r))))
     last = F.coalesce(F.get(F.col("_ends"), F.size("_ends") - 1), F.lit(0))
-    joined = joined.withColumn("_ends", ends).withColumn("_parts", F.filter(F.concat(pieces, F.array(base(last, F.col("_n") - last))), lambda p: p["length"] > 0))
-    out = joined.select("_key", "_text", F.explode("_parts").alias("p"))
+    joined = listed.withColumn("_ends", ends).withColumn("_parts", F.filter(F.concat(pieces, F.array(base(last, F.col("_n") - last))), lambda p: p["length"] > 0))
+    # no list is empty here; the outer form keeps Spark from pushing a filter on the list's size, and with it all of the above, under every step
+    out = joined.select("_key", "_text", F.explode_outer("_parts").alias("p"))
     return out.select(F.col("_key").alias(key), "p.start", "p.length", utf16_slice(F.col("_text"), F.col("p.start"), F.col("p.length")).alias("part"), "p.color", "p.dark_color", "p.bold", "p.italic")

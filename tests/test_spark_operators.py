@@ -121,6 +121,23 @@ def test_attributed_parts_are_the_text(spark):
     assert any(r.dark_color for r in parts) and styles.named("nonesuch") is None and len(styles.THEMES) == 6
 
 
+def test_attributed_works_in_the_row(spark):
+    texts = ["# a\n# b\n'x' 'y''z'\n" * 50, '{"k": 1}', "", None, "def f(a=1): return a  # 😀\n", "x"]
+    df = highlight.highlight(prepare(spark).createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), "text", "python").select("k", "text", "result.tokens", "result.source_length")
+    # touching tokens of one style, equal keys, tokens past the text and no tokens at all
+    own = spark.createDataFrame([(9, "abcdef", [(0, 2, ["string"]), (2, 1, ["string"]), (3, 0, ["number"]), (4, 9, ["string"])], 6), (9, "ab", None, 0), (8, "ab", [], 2)], f"k int, text string, tokens {highlight.TOKENS}, source_length int")
+    parts = styles.attributed(df.unionAll(own), "k", "text", styles.named("github"))
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted(tuple(r)[:3] for r in parts.where("k > 7").collect())
+    assert got == [(8, 0, 2), (9, 0, 2), (9, 0, 3), (9, 3, 1), (9, 4, 2)]
+    names = ("k", "start", "length", "color", "dark_color", "bold", "italic")
+    runs = {tuple(r) for r in styles.render(df, "k", styles.named("github")).select(*names).collect()}
+    rows = parts.where("k < 7").orderBy("k", "start").collect()
+    assert runs and runs <= {tuple(r[c] for c in names) for r in rows}
+    assert ["".join(r.part for r in rows if r.k == k) for k in range(len(texts))] == [t or "" for t in texts]
+
+
 def test_cache_keys_and_policy(spark):
     same = prepare(spark).range(1).select(*[cache.request_key(F.lit("n"), F.lit("v"), cache.selection_identity(s), F.lit(3), ignore) for s, ignore in (("js", True), ("javascript", True), ("javascript", False), (None, True), ("plain", True))]).first()
     assert same[0] == same[1] and len(set(same)) == 4
