@@ -103,7 +103,8 @@ class Document:
         return None if at is None else (line, at)
 
     def replace(self, start: int, length: int, new: str) -> int:
-        """Edits UTF-16 units; returns the first changed line.  A range outside, or one that splits a surrogate pair, is a ValueError
+        """Edits UTF-16 units; returns the line that the range starts in (the one before, where its end merges with what is new), whether or not
+        its text comes out as before.  A range outside, or one that splits a surrogate pair, is a ValueError
         and changes nothing."""
         ends = list(itertools.accumulate(map(units, self.lines)))
         a, b = self.find(ends, start), self.find(ends, start + length) if length >= 0 else None
@@ -124,7 +125,7 @@ class Document:
         old, old_tokens, same, shift = dict(self.kept), list(self.tokens), len(self.lines) - hi + back, len(fresh) - len(before)
         self.lines[lo:hi] = fresh
         self.parse(min(lo + front, len(self.lines) - 1), same, shift, old, old_tokens)
-        return lo + front
+        return min(a[0], lo + front)
 
     def snapshot(self, start: int, length: int, most: int | None = None) -> tuple[list[Token], int]:
         """Tokens inside a range of UTF-16 units, counted from its start, at most so many; and how many more there are."""

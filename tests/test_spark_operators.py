@@ -186,6 +186,15 @@ def test_edits_merge_line_ends():
     assert doc.lines == ["a😀b"] and document.Document.of("{}", None, detect=True).language in (None, "json")
 
 
+def test_an_edit_is_at_its_start_whatever_it_puts_there():
+    doc = document.Document.of("same\nend\n", "markdown")
+    # put before an equal line; the same text again; a line end that merges with the one before; the end of the text
+    assert [doc.replace(*e) for e in ((0, 0, "same\n"), (0, 4, "same"), (5, 5, "same\nnew\n"), (18, 0, "x"))] == [0, 0, 1, 4]
+    assert doc.lines == ["same\n", "same\n", "new\n", "end\n", "x"]
+    doc = document.Document.of("a\rb", "markdown")
+    assert doc.replace(2, 0, "\n") == 0
+
+
 def test_edits_and_streams_report_alike(spark, tmp_path):
     text = "".join(f"x{i} = {i}\n" for i in range(100))
     rows = [(k, 0, 0, 0, text) for k in (1, 2)] + [(1, 1, 5, 0, "7"), (1, 2, 0, 10**6, ""), (2, 1, 0, 0, "'''"), (2, 2, 0, 3, ""), (2, 3, 300, 1, "\n")]
