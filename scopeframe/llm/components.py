@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import release
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -35,4 +37,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         before = after
         now = _small_star(_large_star(now)).checkpoint()
+        # a round has seven exchanges, each with files for every partition however few the links are
+        release(links.sparkSession)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -308,6 +308,8 @@ def roots(docs: DataFrame, text_col: str, items: DataFrame, others: DataFrame |
     links = _verified(near, docs, text_col, spark).checkpoint()
     release(spark)
     failed = pairs.join(links.toDF("x", "y"), ["x", "y"], "left_anti").checkpoint()
+    del pairs, near
+    release(spark)
     found = components(links)
     listed = met.where("items is not null").select("items", "sizes").distinct().withColumn("id", F.xxhash64("items", "sizes"))
     member = listed.select("id", F.explode(F.arrays_zip("items", "sizes")).alias("m")).select("id", F.col("m.items").alias("item"), F.col("m.sizes").alias("n"), F.col("m.items").alias("root"))
@@ -323,6 +325,9 @@ def roots(docs: DataFrame, text_col: str, items: DataFrame, others: DataFrame |
             size = member.groupBy("id").agg(F.count(F.lit(1)).alias("_s"))
             largest = member.drop("own").join(size, "id").groupBy("item").agg(F.max_by("id", F.struct("_s", "id")).alias("own"))
             member = member.drop("own").join(largest, "item").select("id", "item", "n", "root", "own").checkpoint()
+            del size, largest
+        del open_, roots_
+        release(spark)
         tried = failed.groupBy("x").agg(F.collect_list("y").alias("failed")).unionAll(failed.groupBy("y").agg(F.collect_list("x")))
         tried = tried.groupBy(F.col("x").alias("item")).agg(F.flatten(F.collect_list("failed")).alias("failed"))
         whole = member.join(items.select("item", "sketch"), "item").join(tried, "item", "left")
@@ -337,7 +342,7 @@ def roots(docs: DataFrame, text_col: str, items: DataFrame, others: DataFrame |
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in near], pa.int64()), pa.array([y for _, y in near], pa.int64())], names=["x", "y"])
 
         pairs = apart.select("id", "m").mapInArrow(cross, "x long, y long").distinct().checkpoint()
-        del whole, apart, tried, open_, roots_
+        del whole, apart, tried
         release(spark)
         if not pairs.limit(1).count():
             return found

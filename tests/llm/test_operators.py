@@ -557,3 +557,23 @@ def test_extra_columns_may_have_any_name(spark):
     assert json.dumps(sorted(secrets.redact(df).columns)) == json.dumps(sorted(df.columns))
     for op in (simhash.op2, substrings.op4, matroska.op5, pii.op6, secrets.op8, langid.op9):
         assert op(df).count() == 1
+
+
+def test_components_drop_the_shuffle_files_of_earlier_rounds(spark):
+    import time
+
+    from scopeframe.llm.components import components
+    from scopeframe.llm.runtime import prepare, release
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    prepare(spark)
+    links = spark.range(0, 300, numPartitions=4).selectExpr("id AS a", "id + 1 AS b").checkpoint()
+    release(spark)
+    time.sleep(2)
+    before = files()
+    found = components(links)
+    end = time.time() + 5
+    while (most := files() - before) > 100 and time.time() < end:
+        time.sleep(0.2)
+    assert found.where("root = 0").count() == 300
+    assert most <= 100
