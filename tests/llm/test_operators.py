@@ -577,3 +577,40 @@ def test_components_drop_the_shuffle_files_of_earlier_rounds(spark):
         time.sleep(0.2)
     assert found.where("root = 0").count() == 300
     assert most <= 100
+
+
+def test_few_links_are_joined_in_few_tasks(spark):
+    """Every task leaves its lines in Spark's event log, so what a small table costs is its tasks."""
+    from scopeframe.llm.components import components
+    from scopeframe.llm.runtime import prepare
+
+    prepare(spark)
+    links = spark.range(0, 300, numPartitions=4).selectExpr("id AS a", "id + 1 AS b").checkpoint()
+    context, status = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("few-links", "components")
+    found = components(links).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in status.getJobIdsForGroup("few-links") for s in status.getJobInfo(j).stageIds}
+    assert sum(x.numCompletedTasks for s in stages if (x := status.getStageInfo(s))) <= 40
+    assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(1, 301)}
+
+
+@pytest.mark.parametrize("few", [0, 60, 1 << 20])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, few):
+    """Against brute force, on links of random graphs, a large star, a chain and none, by rounds alone, by rounds and then one task, by one task."""
+    from scopeframe.llm import components as module
+    from scopeframe.llm.runtime import prepare
+
+    prepare(spark)
+    monkeypatch.setattr(module, "FEW", few)
+    r = np.random.default_rng(few)
+    graph = np.sort(r.integers(-200, 200, (150, 2)), axis=1)
+    links = {(int(a), int(b)) for a, b in graph if a < b} | {(1000 + i, 1050) for i in range(50)} | {(2000 + i, 2001 + i) for i in range(40)}
+    for rows in (links, set()):
+        up = {x: x for link in rows for x in link}
+        while any(up[a] != up[b] for a, b in rows):
+            for a, b in rows:
+                up[a] = up[b] = min(up[a], up[b])
+        df = spark.createDataFrame(sorted(rows), "a long, b long").repartition(3)
+        got = [(x.node, x.root) for x in module.components(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(x, y) for x, y in up.items() if x != y}
